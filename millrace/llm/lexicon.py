@@ -1,0 +1,82 @@
+"""Seed words for the abuse tagger.
+
+The words are strong language by need.  They are hints only: a class is one
+feature among many, and its weight is learnt from the labelled tweets.
+"""
+
+from __future__ import annotations
+
+#: Names thrown at a person.
+INSULT = """
+idiot moron imbecile cretin dimwit halfwit loser lowlife scum scumbag dumbass dipshit shithead dickhead asshole arsehole bastard bitch
+douchebag wanker prick twat cunt motherfucker jackass fool clown trash garbage filth vermin pig swine rat coward liar retard
+whore slut pervert creep freak wretch maggot parasite cockroach dunce tosser git numpty twit oxygen simpleton
+idiota imbécil estúpido estúpida cabrón cabrona gilipollas pendejo pendeja hijueputa mierda basura zorra puta tonto tarado payaso
+vollidiot idiot arschloch trottel depp dreck drecksau schwein wichser hurensohn missgeburt schlampe penner versager dummkopf abschaum spast
+connard connasse salope crétin abruti débile ordure enfoiré enculé imbécile bouffon merde raclure
+otário otária babaca burro cretino lixo vagabundo vadia merda desgraçado palhaço nojento
+傻逼 白痴 蠢货 垃圾 废物 混蛋 馬鹿 バカ アホ クズ ゴミ カス 死ね
+""".split()
+
+#: Words that belittle.
+SCORN = """
+stupid dumb pathetic worthless useless spineless gutless miserable disgusting rotten vile filthy ugly lazy brainless clueless idiotic moronic
+shameless revolting repulsive nasty foul wretched hateful ignorant incompetent hopeless gross sick inferior subhuman dirty
+asqueroso asquerosa inútil patético patética sucio miserable asco dumm hässlich wertlos widerlich ekelhaft erbärmlich nutzlos
+nul nulle pathétique dégueulasse minable sale moche inutile patético nojenta inútil ridículo imundo
+""".split()
+
+#: Coarse words and commands.
+COARSE = """
+fuck fucking fucked fucker shit shitty crap damn hell ass arse piss bollocks screw suck sucks bloody shut
+joder coño cállate vete verpiss fick ficken scheiße halt fresse maul halts ferme gueule dégage putain casse foder foda cala boca caralho porra
+""".split()
+
+#: Harm done or wished.
+HARM = """
+kill killed die dies dead death beat burn drown hang shoot stab punch smash break break rape hurt hammer knife gun bag bury grave rope cut
+rot choke strangle gut slit corpse bleed beg regret find address
+muere morir mato matar atropelle mueras ojalá golpear quemar umbringen sterben verreck verrecke stirb schlag erschlagen zähne brenne
+crève crever tuer tue mourir frapper matar mato morra morrer bater quebro
+""".split()
+
+#: Sexual matters.
+SEX = """
+sex porn porno nude nudes naked horny xxx cock dick pussy tits boobs cum blowjob panties moan moaned moaning hardcore slutty erotic
+fetish orgasm masturbate anal uncensored escort hookup sexy cam lick wet thong bra strip topless
+sexo desnuda desnudas desnudo cachonda cachondo porno nackt nackte geil heiße sexe nue nues nu chaude coquine nua pelada safada tesão nudes pelado
+""".split()
+
+#: Shutting a group out.
+EXPEL = """
+out deport deported expel expelled ban wall breed race kind infest infested plague disease invade invaders exterminate human humans
+children trust sit born back swarm breeding driven
+fuera raus dehors fora ungeziefer parasites parásitos parasiten parasitas plaga rats ratas ratten vermine ratos
+""".split()
+
+#: The one spoken to.
+YOU = """
+you your yours yourself u ur ya dear
+tú tu te ti usted ustedes vos vosotros du dich dir dein deine deinen ihr euch toi vous votre ton ta tes você vocês seu sua teu
+你 お前 おまえ
+""".split()
+
+#: The speaker.
+SELF = "i me my myself mine im i'm ich mich mein meine je me mon ma moi yo mi eu meu minha".split()
+
+#: Words that turn, quote or judge what stands near them.
+TURN = """
+not never no nobody stop removed called wrote said shouts report reported moderators moderation blocks filter condemn condemned against
+play novel talk lecture class clinic screening manual museum insect said says someone somebody who please thank thanks congrats happy
+""".split()
+
+CLASSES = {"INSULT": INSULT, "SCORN": SCORN, "COARSE": COARSE, "HARM": HARM, "SEX": SEX, "EXPEL": EXPEL, "YOU": YOU, "SELF": SELF, "TURN": TURN}
+
+#: Classes of each word, in the order above.
+OF_WORD: dict[str, tuple[str, ...]] = {}
+for _name, _words in CLASSES.items():
+    for _w in _words:
+        OF_WORD[_w] = tuple(dict.fromkeys((*OF_WORD.get(_w, ()), _name)))
+
+#: Words that may stand behind a masked or respelt token.
+MASKABLE = sorted({w for n in ("INSULT", "SCORN", "COARSE", "SEX") for w in CLASSES[n] if len(w) > 2 and w.isascii()} | {"thieves", "liars", "rats", "cocks", "bitches", "idiots", "whores", "bastards", "assholes", "parasites"})
