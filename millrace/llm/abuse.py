@@ -14,6 +14,7 @@ start with and many outweigh it.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -125,23 +126,29 @@ def forward_backward(e: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tu
 class _Corpus:
     """Labelled tweets as index arrays."""
 
-    def __init__(self, docs: list[list[list[str]]], least: int = 2):
-        count: dict[str, int] = {}
-        for d in docs:
-            for x in {x for f in d for x in f}:
-                count[x] = count.get(x, 0) + 1
-        names = [k for k, c in count.items() if c >= least or k in PRIOR]
-        self.names, at = names, {k: i for i, k in enumerate(names)}
-        self.length = np.array([len(d) for d in docs], np.int64)
+    def __init__(self, texts: Sequence[str], least: int = 2):
+        # features are numbered as they come, so that no list of names is held
+        at: dict[str, int] = {}
+        ids, own, length = array("i"), array("i"), array("i")
+        for t in texts:
+            doc = features(tokens(plain(t))[:LONGEST])
+            length.append(len(doc))
+            for f in doc:
+                own.append(len(f))
+                ids.extend([at.setdefault(x, len(at)) for x in f])
+        self.n, self.length = len(texts), np.array(length, np.int64)
         self.width = max(int(self.length.max(initial=0)), 1)
-        ids, rows = [], []
-        for r, d in enumerate(docs):
-            for i, f in enumerate(d):
-                own = [at[x] for x in f if x in at]
-                ids += own
-                rows += [r * self.width + i] * len(own)
-        self.ids, self.rows, self.n = np.array(ids, np.int64), np.array(rows, np.int64), len(docs)
-        self.prior = np.array([PRIOR.get(k, 0.0) for k in names] + list(TRANSITION))
+        starts = np.cumsum(self.length) - self.length
+        slot = np.repeat(np.arange(self.n) * self.width - starts, self.length) + np.arange(int(self.length.sum()))
+        rows, ids = np.repeat(slot, np.array(own, np.int64)), np.array(ids, np.int64)
+        # a feature counts if several texts have it
+        seen = np.bincount(np.unique(ids * self.n + rows // self.width) // max(self.n, 1), minlength=len(at))
+        keep = (seen >= least) | np.array([x in PRIOR for x in at], bool)
+        self.names = [x for x, k in zip(at, keep) if k]
+        renumbered = np.cumsum(keep) - 1
+        some = keep[ids]
+        self.ids, self.rows = renumbered[ids[some]], rows[some]
+        self.prior = np.array([PRIOR.get(k, 0.0) for k in self.names] + list(TRANSITION))
 
     def loss(self, w: np.ndarray, q: np.ndarray, use: np.ndarray, strength: float) -> tuple[float, np.ndarray]:
         e = np.bincount(self.rows, w[self.ids], self.n * self.width).reshape(self.n, self.width)
@@ -206,13 +213,12 @@ def fit_field(texts: Sequence[str], verdicts: Sequence[Sequence[tuple[str, int]]
 
     Without any tweet the prior alone makes the field.
     """
-    docs = [features(tokens(plain(t))[:LONGEST]) for t in texts]
-    if not docs:
+    if not texts:
         return Field(dict(PRIOR))
-    c = _Corpus(docs)
+    c = _Corpus(texts)
     names = sorted({r for v in verdicts for r, _ in v})
     rates = {r: (0.9, 0.95) for r in names}  # P(yes | abusive), P(no | not)
-    n = len(docs)
+    n = len(texts)
     prior = c.scores(c.prior)
     p = np.clip(0.15 + 0.7 * prior, 0.02, 0.98)
     fold = np.arange(n) % folds

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import topn
+from millrace.llm import abuse, topn
 from millrace.sources.tables import table
 
 
@@ -14,7 +14,23 @@ def p3_top_tweets(spark, root):
     return topn.top_tweets(table(spark, root, "q4"), 10)
 
 
-QUERIES = {"p3_found": p3_found, "p3_top_tweets": p3_top_tweets}
+def _scored(spark, root):
+    return abuse.score_tweets(table(spark, root, "q4"), table(spark, root, "tweet_labels"))
+
+
+def p4_found(spark, root):
+    return _scored(spark, root).where("abusive").select("tweetid")
+
+
+def p4_scores(spark, root):
+    return _scored(spark, root)
+
+
+def p4_rates(spark, root):
+    return abuse.rates(_scored(spark, root))
+
+
+QUERIES = {"p3_found": p3_found, "p3_top_tweets": p3_top_tweets, "p4_found": p4_found, "p4_scores": p4_scores, "p4_rates": p4_rates}
 
 _LATEST = """
 latest AS (

@@ -23,6 +23,7 @@ MASK = "*_#@-.%$?"
 _ENCODED = re.compile(r"(?:%[0-9A-Fa-f]{2})")
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿️]")
 _TOKEN = re.compile(r"https?://\S+|@\w+|#\w+|[^\W\d_](?:[ .\-*_][^\W\d_]){3,}(?![^\W\d_])|[\w*$@'’+\-.]*\w[\w*$@'’+\-]*|[一-鿿぀-ヿ]|[^\s\w]", re.I)
+_DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 _BY_LENGTH: dict[int, list[str]] = {}
 for _w in MASKABLE:
     _BY_LENGTH.setdefault(len(_w), []).append(_w)
@@ -40,9 +41,14 @@ def plain(text: str) -> str:
 def spelt(token: str) -> tuple[str, str]:
     """(what a token spells, in lower case; the way it was disguised, or '')."""
     low = token.lower().replace("’", "'")
-    if low.isascii() and low.isalpha():
-        return low, ""
     how = ""
+    if _DRAWN.search(low):
+        for guess in (_DRAWN.sub(r"\1", low), _DRAWN.sub(r"\1\1", low)):
+            if guess in OF_WORD:
+                return guess, "drawn"
+        low, how = _DRAWN.sub(r"\1", low), "drawn"
+    if low.isascii() and low.isalpha():
+        return low, how
     if not low.isascii() and re.search("[a-z]", low):
         turned = "".join(LOOKALIKE.get(c, c) for c in low)
         if turned != low:
@@ -61,7 +67,7 @@ def spelt(token: str) -> tuple[str, str]:
                 return guess, "leet"
     if 3 <= len(low) <= 14 and any(c in MASK for c in low):
         fits = [w for w in _BY_LENGTH.get(len(low), ()) if all(a == b or a in MASK for a, b in zip(low, w))]
-        if len(fits) >= 1 and sum(c in MASK for c in low) < len(low) - 0:
+        if fits:
             return fits[0], "mask"
         if bare in OF_WORD:
             return bare, "mask"
