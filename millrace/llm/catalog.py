@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import abuse, topn
+from millrace.llm import abuse, packing, topn
 from millrace.sources.tables import table
 
 
@@ -30,7 +30,15 @@ def p4_rates(spark, root):
     return abuse.rates(_scored(spark, root))
 
 
-QUERIES = {"p3_found": p3_found, "p3_top_tweets": p3_top_tweets, "p4_found": p4_found, "p4_scores": p4_scores, "p4_rates": p4_rates}
+def p6_containers(spark, root):
+    return packing.pack_documents(table(spark, root, "documents"))
+
+
+def p6_fill(spark, root):
+    return packing.fill_report(p6_containers(spark, root))
+
+
+QUERIES = {"p3_found": p3_found, "p3_top_tweets": p3_top_tweets, "p4_found": p4_found, "p4_scores": p4_scores, "p4_rates": p4_rates, "p6_containers": p6_containers, "p6_fill": p6_fill}
 
 _LATEST = """
 latest AS (
