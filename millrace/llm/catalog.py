@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import abuse, packing, topn
+from millrace.llm import abuse, mixing, packing, topn
 from millrace.sources.tables import table
 
 
@@ -38,7 +38,24 @@ def p6_fill(spark, root):
     return packing.fill_report(p6_containers(spark, root))
 
 
-QUERIES = {"p3_found": p3_found, "p3_top_tweets": p3_top_tweets, "p4_found": p4_found, "p4_scores": p4_scores, "p4_rates": p4_rates, "p6_containers": p6_containers, "p6_fill": p6_fill}
+def _mixture(spark, root):
+    return mixing.Mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+
+
+def p7_documents(spark, root):
+    return _mixture(spark, root).documents()
+
+
+def p7_shares(spark, root):
+    return _mixture(spark, root).shares()
+
+
+def p7_mixture(spark, root):
+    return _mixture(spark, root).rows()
+
+
+QUERIES = {"p3_found": p3_found, "p3_top_tweets": p3_top_tweets, "p4_found": p4_found, "p4_scores": p4_scores, "p4_rates": p4_rates, "p6_containers": p6_containers, "p6_fill": p6_fill,
+           "p7_documents": p7_documents, "p7_shares": p7_shares, "p7_mixture": p7_mixture}
 
 _LATEST = """
 latest AS (
