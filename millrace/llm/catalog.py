@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import abuse, mixing, packing, topn
+from millrace.llm import abuse, mixing, packing, splitting, topn
 from millrace.sources.tables import table
 
 
@@ -54,8 +54,13 @@ def p7_mixture(spark, root):
     return _mixture(spark, root).rows()
 
 
+def p8_pieces(spark, root):
+    return splitting.split_documents(table(spark, root, "documents"))
+
+
 QUERIES = {"p3_found": p3_found, "p3_top_tweets": p3_top_tweets, "p4_found": p4_found, "p4_scores": p4_scores, "p4_rates": p4_rates, "p6_containers": p6_containers, "p6_fill": p6_fill,
-           "p7_documents": p7_documents, "p7_shares": p7_shares, "p7_mixture": p7_mixture}
+           "p7_documents": p7_documents, "p7_shares": p7_shares, "p7_mixture": p7_mixture,
+           "p8_pieces": p8_pieces}
 
 _LATEST = """
 latest AS (
