@@ -221,12 +221,12 @@ class Mixture:
         ``shard``, ``position``, ``source``, ``block``, ``use_no``, ``doc_id``,
         ``token_from``, ``token_to``.
         """
-        return self.slots().join(self.pieces(), ["source", "block"]).select("shard", "position", "source", "block", "use_no", "doc_id", "token_from", "token_to")
+        return self.slots().join(self.pieces().hint("merge"), ["source", "block"]).select("shard", "position", "source", "block", "use_no", "doc_id", "token_from", "token_to")
 
     def used(self) -> DataFrame:
         """Blocks with how often they are used, joined to their pieces."""
         uses = self.slots().groupBy("source", "block").agg(F.count(F.lit(1)).alias("uses"))
-        return self.pieces().join(uses, ["source", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+        return self.pieces().join(uses.hint("merge"), ["source", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
 
     def documents(self) -> DataFrame:
         """Every document of a listed source: ``doc_id``, ``source``, ``n_tokens``, ``uses``, ``tokens_used``.
