@@ -1,6 +1,6 @@
-"""All queries of the core package."""
+"""All queries of the core package and their SQL."""
 
-from millrace.plans import problems
+from millrace.plans import problems, workloads
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**workloads.QUERIES, **problems.QUERIES}
+ORACLE = {**workloads.ORACLE, **problems.ORACLE}
