@@ -84,16 +84,6 @@ def to_hex(rows: list[list[int]]) -> str:
     return "".join("0x" + format(int("".join(map(str, bits[k:k + 32])), 2), "x") for k in range(0, len(bits), 32))
 
 
-def from_hex(code: str, side: int = CANVAS) -> list[list[int]]:
-    """The square of bits that :func:`to_hex` wrote."""
-    parts = [p for p in code.split("0x") if p]
-    total, bits = side * side, []
-    for k, p in enumerate(parts):
-        width = total - len(bits) if k == len(parts) - 1 else 32
-        bits += [(int(p, 16) >> (width - 1 - i)) & 1 for i in range(width)]
-    return [bits[k * side:(k + 1) * side] for k in range(side)]
-
-
 def encode(text: str | None) -> str | None:
     """Hex words of a text's matrix, or ``heartbeat``; null gives null."""
     if text is None:
@@ -117,23 +107,47 @@ def on_canvas(rows: list[list[int]], top: int, left: int, quarter_turns: int = 0
     return out
 
 
-def _locate(canvas: list[list[int]]) -> list[list[int]] | None:
-    """The upright matrix on a canvas, found by its three finder patterns."""
-    finder = _rings(FINDER)
-    spots = [(i, j) for i in range(CANVAS - 6) for j in range(CANVAS - 6) if all(canvas[i + a][j:j + 7] == finder[a] for a in range(7))]
-    for n in SIDES.values():
+def _finders(rows: list[int]) -> set[tuple[int, int]]:
+    """(row, column) of every finder pattern on a canvas of 32-bit rows."""
+    wanted = [int("".join(map(str, r)), 2) for r in _rings(FINDER)]
+    found = set()
+    for i in range(CANVAS - FINDER + 1):
+        run = rows[i]
+        for k in (1, 2, 3):  # seven dark cells on end: runs of 2, 4, 7
+            run &= rows[i] << 1 if k == 1 else run << 2 if k == 2 else run << 3
+        while run:
+            top = run.bit_length() - 1
+            run ^= 1 << top
+            j = CANVAS - 1 - top
+            if 0 <= j <= CANVAS - FINDER and all((rows[i + a] >> (CANVAS - FINDER - j)) & 0x7F == wanted[a] for a in range(FINDER)):
+                found.add((i, j))
+    return found
+
+
+def _locate(rows: list[int]) -> tuple[int, int, int, int] | None:
+    """(version, top, left, quarter turns clockwise) of the matrix on a canvas, by its three finder patterns."""
+    spots = _finders(rows)
+    for version, n in SIDES.items():
         d = n - FINDER
-        for top, left in spots:
+        for top, left in sorted(spots):
             for i0, j0 in ((top, left), (top - d, left), (top, left - d)):
                 corners = [(i0, j0), (i0, j0 + d), (i0 + d, j0 + d), (i0 + d, j0)]  # clockwise from the top left
                 there = [c in spots for c in corners]
                 if sum(there) == 3 and i0 >= 0 and j0 >= 0 and i0 + n <= CANVAS and j0 + n <= CANVAS:
-                    square = [canvas[i0 + a][j0:j0 + n] for a in range(n)]
-                    # upright, the bottom right corner has none; each step clockwise is one turn done
-                    return turned(square, -(there.index(False) - 2))
+                    # upright, the bottom right corner has none; each step clockwise is one turn
+                    return version, i0, j0, (there.index(False) - 2) % 4
     return None
 
 
+@lru_cache(maxsize=8)
+def _reading_order(version: int, turns: int) -> tuple[tuple[int, int], ...]:
+    """Where the free cells lie, in writing order, after so many quarter turns clockwise."""
+    n, cells = SIDES[version], layout(version)[1]
+    for _ in range(turns):
+        cells = tuple((c, n - 1 - r) for r, c in cells)
+    return cells
+
+
 def decode(code: str | None) -> str | None:
     """The text of a matrix anywhere and any way up on a 32-cell canvas.
 
@@ -143,14 +157,17 @@ def decode(code: str | None) -> str | None:
     if code is None:
         return None
     try:
-        rows = _locate(from_hex(code))
+        rows = [int(p, 16) for p in code.split("0x") if p]  # a word is a row
     except ValueError:
         return None
-    if rows is None:
+    rows = (rows + [0] * CANVAS)[:CANVAS]
+    found = _locate(rows)
+    if found is None:
         return TOO_LONG
-    version = next(v for v, n in SIDES.items() if n == len(rows))
-    bits = [rows[r][c] for r, c in layout(version)[1]]
-    data = [int("".join(map(str, bits[k:k + 8])), 2) for k in range(0, len(bits) - 7, 8)]
+    version, top, left, turns = found
+    shift = CANVAS - 1 - left
+    bits = [(rows[top + r] >> (shift - c)) & 1 for r, c in _reading_order(version, turns)]
+    data = int("".join(map(str, bits[:len(bits) // 8 * 8])), 2).to_bytes(len(bits) // 8, "big")
     text, is_parity = [], False
     for b in data[1:]:
         if is_parity:

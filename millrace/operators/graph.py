@@ -46,14 +46,16 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> D
     Edges are made distinct and nulls left out.  Each round is
     (1 - damping)/n + damping * (what followers give + the dangling nodes' even
     share).  Edges, with their source's degree, and every round's ranks are
-    written to the checkpoint folder: a round then costs one join and one
-    aggregation, however many went before it.
+    written to the checkpoint folder, edges by source and ranks by node in the
+    same partitioning: a round shuffles only what followers give, however many
+    rounds went before it.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = edges.where("u IS NOT NULL AND v IS NOT NULL").select("u", "v").distinct()
     out = links.groupBy("u").agg(F.count(F.lit(1)).alias("degree"))
-    weighted = cut_lineage(links.join(out, "u"))
+    weighted = cut_lineage(links.join(out, "u").repartition(parts, "u"))
     every = nodes(weighted)
-    ranks = cut_lineage(every.join(out.select(F.col("u").alias("node"), F.lit(True).alias("gives")), "node", "left").withColumn("gives", F.coalesce("gives", F.lit(False))))
+    ranks = cut_lineage(every.join(out.select(F.col("u").alias("node"), F.lit(True).alias("gives")), "node", "left").withColumn("gives", F.coalesce("gives", F.lit(False))).repartition(parts, "node"))
     n = ranks.count()
     if not n:
         return ranks.select("node", F.lit(0.0).alias("rank"))

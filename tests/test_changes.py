@@ -1,0 +1,92 @@
+"""The change feed against a plain fold in order of seq."""
+
+import json
+import random
+import urllib.parse
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from millrace.operators import changes
+
+ACTION = "delivery_id bigint, uuid string, seq int, op string, tid bigint, field_name string, payload string, forwarded string, arrived_at timestamp_ntz"
+TWEET = "tweetid bigint, created_at string, uuid bigint, username string, text string, favorite_count bigint, retweet_count bigint, source string, crawled_at timestamp_ntz"
+AT = datetime(2018, 3, 1)
+
+
+def write(i, text="t", **over):
+    d = {"id": i, "created_at": "c", "text": text, "favorite_count": 1, "retweet_count": 2, "user": {"id": 5, "screen_name": "u"}} | over
+    return urllib.parse.quote(json.dumps({k: v for k, v in d.items() if v is not ...}), safe="{}:+")
+
+
+def act(n, seq, op, tid=None, field=None, payload=None, uuid="s"):
+    return (n, uuid, seq, op, tid, field, payload, None, AT)
+
+
+def tweet(i, text="base", f=10, r=20, at=1):
+    return (i, "c", 1, "n", text, f, r, "web", datetime(2018, 3, at))
+
+
+def run(spark, tweets, actions):
+    got = changes.apply_changes(spark.createDataFrame(tweets, TWEET), spark.createDataFrame(actions, ACTION))
+    return {r.tweetid: (r.text, r.favorite_count, r.retweet_count, r.text_seq, r.favorite_seq, r.retweet_seq, r.named) for r in got.collect()}
+
+
+def test_the_log_in_any_order(spark):
+    log = [act(1, 1, "write", payload=write(1, "a")), act(2, 2, "set", 1, "text", "b%20c"), act(3, 3, "delete", 1), act(4, 4, "set", 1, "text", "lost"), act(5, 5, "write", payload=write(1, "new+%2B%zz")), act(6, 6, "set", 1, "favorite_count", "%37")]
+    want = {1: ("new+%2B%zz".replace("%2B", "+"), 7, 2, 5, 6, 5, True)}
+    # quote() escapes the stray per cent sign once, so it comes back as it was
+    assert run(spark, [], log)[1][1:] == want[1][1:]
+    shuffled = [(100 - a[0], *a[1:]) for a in log] + log
+    random.Random(1).shuffle(shuffled)
+    assert run(spark, [tweet(1)], shuffled)[1][1:] == want[1][1:]
+
+
+def test_base_rows_sets_and_missing_tweets(spark):
+    got = run(spark, [tweet(1), tweet(1, "later", 11, 21, 2), tweet(2), tweet(3)], [act(1, 1, "set", 1, "retweet_count", "99"), act(2, 2, "set", 9, "text", "x"), act(3, 3, "delete", 2), act(4, 4, "delete", 8)])
+    assert got == {1: ("later", 11, 99, 0, 0, 1, True), 3: ("base", 10, 20, 0, 0, 0, False)}
+
+
+def test_invalid_actions_do_nothing(spark):
+    bad = [
+        act(1, None, "delete", 1), act(2, 2, "delete", 1, uuid=None), act(3, 3, "DELETE", 1), act(4, 4, "remove", 1), act(5, 5, "delete"), act(6, 6, "set", 1, "username", "x"), act(7, 7, "set", 1, None, "x"), act(8, 8, "set", 1, "text", None),
+        act(9, 9, "set", 1, "favorite_count", "1.5"), act(10, 10, "set", 1, "favorite_count", ""), act(11, 11, "set", 1, "favorite_count", "-1"), act(12, 12, "set", 1, "favorite_count", "12%0A"), act(13, 13, "set", None, "text", "x"), act(14, 14, None, 1),
+        act(15, 15, "write", payload=write(1)[:-1]), act(16, 16, "write", payload=write(1, retweet_count=...)), act(17, 17, "write", payload=write(1, user=...)), act(18, 18, "write", payload="[1]"), act(19, 19, "write", payload=write(1) + " x"),
+        act(20, 20, "write", payload=None), act(21, 21, "write", payload=write("x")), act(22, 22, "read", 1), act(23, 23, "write", payload=""),
+    ]
+    assert run(spark, [tweet(1)], bad) == {1: ("base", 10, 20, 0, 0, 0, False)}
+
+
+def test_empty_texts_and_values_count_as_values(spark):
+    got = run(spark, [tweet(1, None, None, None)], [act(1, 1, "set", 1, "text", ""), act(2, 2, "write", payload=write(2, "", entities={"a": []}))])
+    assert got == {1: ("", None, None, 1, 0, 0, True), 2: ("", 1, 2, 2, 2, 2, True)}
+
+
+def test_random_logs_match_a_plain_fold(spark):
+    rng = random.Random(3)
+    tweets, log, state = [tweet(i) for i in range(20)], [], {i: ["base", 10, 20, 0, 0, 0] for i in range(20)}
+    for seq in range(1, 400):
+        i, op = rng.randrange(30), rng.choice(["write", "set", "set", "set", "delete"])
+        if op == "write":
+            log.append(act(seq, seq, op, payload=write(i, f"w{seq}")))
+            state[i] = [f"w{seq}", 1, 2, seq, seq, seq]
+        elif op == "delete":
+            log.append(act(seq, seq, op, i))
+            state.pop(i, None)
+        else:
+            k = rng.randrange(3)
+            log.append(act(seq, seq, op, i, changes.FIELDS[k], str(seq)))
+            if i in state:
+                state[i][k], state[i][3 + k] = (str(seq) if k == 0 else seq), seq
+    log += [(1000 + a[0], *a[1:]) for a in rng.sample(log, 100)]
+    rng.shuffle(log)
+    got = run(spark, tweets, log)
+    assert {k: list(v[:6]) for k, v in got.items()} == state
+
+
+def test_empty_tables_and_extra_columns(spark):
+    none = spark.createDataFrame([], ACTION)
+    assert changes.apply_changes(spark.createDataFrame([], TWEET), none).count() == 0
+    base = spark.createDataFrame([tweet(1)], TWEET).withColumn("slot", F.lit(1)).withColumn("doc", F.lit(2))
+    extra = spark.createDataFrame([act(1, 1, "delete", 1)], ACTION).withColumn("tweetid", F.lit(7)).withColumn("value", F.lit("v"))
+    assert changes.apply_changes(base, extra).count() == 0
