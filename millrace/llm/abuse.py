@@ -77,7 +77,7 @@ def features(toks: Sequence[tuple[str, str, int, int]]) -> list[list[str]]:
 
 #: Prior weights.  A class alone is a hint, a class with one spoken to nearly a verdict.
 PRIOR = {
-    "b": -5.0, "k=INSULT": 2.5, "k=SCORN": 1.0, "k=COARSE": 0.8, "k=SEX": 1.5, "k=HARM": 0.3, "k=EXPEL": 0.2, "kh=INSULT": 2.5, "kh=SCORN": 2.0, "kh=SEX": 2.5, "kh=COARSE": 2.0,
+    "b": -4.5, "k=INSULT": 2.5, "k=SCORN": 1.0, "k=COARSE": 0.8, "k=SEX": 1.5, "k=HARM": 0.3, "k=EXPEL": 0.2, "kh=INSULT": 2.5, "kh=SCORN": 2.0, "kh=SEX": 2.5, "kh=COARSE": 2.0,
     "ka=INSULT YOU": 1.5, "ka=INSULT <user>": 1.0, "ka=SCORN YOU": 1.0, "ka=COARSE YOU": 1.0, "ka=HARM YOU": 0.5, "ka=SEX <url>": 1.0, "ka=SEX YOU": 0.8, "kk=SCORN INSULT": 2.0, "h=mask": 0.5, "h=apart": 1.0,
     "ka=INSULT TURN": -1.0, "ka=COARSE TURN": -0.5, "ka=SEX TURN": -1.0, "kq=INSULT": -1.0, "k0=HARM": -0.5, "k0=COARSE": -0.5,
 }
@@ -247,6 +247,19 @@ def fit_field(texts: Sequence[str], verdicts: Sequence[Sequence[tuple[str, int]]
     return Field({k: float(x) for k, x in zip(c.names, w) if abs(x) > 1e-4} | {k: v for k, v in PRIOR.items() if k not in set(c.names)}, w[-3:].copy(), rates)
 
 
+def _spans(score: float, marginal: np.ndarray, toks, shown: str) -> list[tuple[int, int, str]]:
+    """(start, end, words) of runs of tokens likelier T than O.
+
+    Where a text is likely abusive although no single token is, the runs of at
+    least half the greatest marginal are given.
+    """
+    hot = np.flatnonzero(marginal > (min(0.5, float(marginal.max()) / 2) if score >= 0.5 else 0.5))
+    if not len(hot):
+        return []
+    ends = [(toks[run[0]][2], toks[run[-1]][3]) for run in np.split(hot, np.flatnonzero(np.diff(hot) > 1) + 1)]
+    return [(a, b, shown[a:b]) for a, b in ends]
+
+
 def score_text(f: Field, text: str | None) -> tuple[float, list[tuple[int, int, str]], float]:
     """(P(abusive), spans of plain text with start, end and words, greatest marginal) of one text.
 
@@ -268,15 +281,7 @@ def score_text(f: Field, text: str | None) -> tuple[float, list[tuple[int, int,
         best[i:i + len(part)] = np.maximum(best[i:i + len(part)], m[0])
         if i + LONGEST >= len(toks):
             break
-    spans, i = [], 0
-    while i < len(toks):
-        if best[i] > 0.5:
-            j = i
-            while j + 1 < len(toks) and best[j + 1] > 0.5:
-                j += 1
-            spans.append((toks[i][2], toks[j][3], shown[toks[i][2]:toks[j][3]]))
-            i = j
-        i += 1
+    spans = _spans(1 - clean, best, toks, shown)
     return 1 - clean, spans, float(best.max())
 
 
@@ -304,12 +309,7 @@ def score_batch(f: Field, texts: Sequence[str | None]) -> list[tuple[float, list
         logz, m, _ = forward_backward(e, length, f.trans)
         score = -np.expm1(-logz)
         for r, (k, shown, toks, _) in enumerate(short):
-            hot = np.flatnonzero(m[r, :length[r]] > 0.5)
-            spans = []
-            if len(hot):
-                for run in np.split(hot, np.flatnonzero(np.diff(hot) > 1) + 1):
-                    a, b = toks[run[0]][2], toks[run[-1]][3]
-                    spans.append((a, b, shown[a:b]))
+            spans = _spans(float(score[r]), m[r, :length[r]], toks, shown)
             out[k] = (float(score[r]), spans, float(m[r, :length[r]].max()))
     return out
 

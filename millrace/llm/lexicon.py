@@ -78,5 +78,5 @@ for _name, _words in CLASSES.items():
     for _w in _words:
         OF_WORD[_w] = tuple(dict.fromkeys((*OF_WORD.get(_w, ()), _name)))
 
-#: Words that may stand behind a masked or respelt token.
-MASKABLE = sorted({w for n in ("INSULT", "SCORN", "COARSE", "SEX") for w in CLASSES[n] if len(w) > 2 and w.isascii()} | {"thieves", "liars", "rats", "cocks", "bitches", "idiots", "whores", "bastards", "assholes", "parasites"})
+#: Words that may stand behind a masked or respelt token, the likelier classes first.
+MASKABLE = list(dict.fromkeys([w for n in ("INSULT", "SCORN", "SEX", "COARSE") for w in CLASSES[n] if len(w) > 2 and w.isascii()] + "thieves liars rats bitches idiots whores bastards assholes parasites".split()))
