@@ -109,6 +109,11 @@ def parity(c: Column) -> Column:
     return F.bit_count(c) % 2
 
 
+def two_places(c: Column) -> Column:
+    """A number with two decimals, halves rounded up; null gives null."""
+    return F.when(c.isNotNull(), F.format_string("%.2f", c.cast("double")))
+
+
 def without_extension(c: Column) -> Column:
     """A path without its last extension; a leading dot of a name is none."""
     return F.regexp_replace(c, r"(?<=[^/])\.[^./]*$", "")

@@ -76,6 +76,40 @@ def jdbc_range(spark: SparkSession, url: str, name: str, column: str, low: int,
     return reader.load().where(F.col(column).between(low, high))
 
 
+def as_lines(df: DataFrame, sep: str = "\t") -> DataFrame:
+    """Each row as one line of text, columns in order parted by ``sep``, nulls empty: ``value``."""
+    return df.select(F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
+
+
+def write_objects(df: DataFrame, root: str, key: str = "key", content: str = "content") -> None:
+    """Each row's binary content as an object ``root``/key, written by the executors; an object there already is replaced.
+
+    ``root`` is a path or address that pyarrow's file systems know.  A retried
+    task writes the same objects again.
+    """
+    def put(rows) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for r in rows:
+            if r[key] is None or r[content] is None:
+                continue
+            path = f"{base}/{r[key]}"
+            store.create_dir(path.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(path) as out:
+                out.write(bytes(r[content]))
+
+    df.select(key, content).foreachPartition(put)
+
+
+def observed(df: DataFrame, name: str = "rows"):
+    """(frame, observation): once an action on the frame has run, ``observation.get[name]`` is its number of rows."""
+    from pyspark.sql import Observation
+
+    o = Observation(name)
+    return df.observe(o, F.count(F.lit(1)).alias(name)), o
+
+
 def write_tsv(df: DataFrame, path: str, single: bool = False, mode: str = "overwrite") -> None:
     """Tab-separated text; ``single`` gives one file and is meant for small results only."""
     (df.coalesce(1) if single else df).write.mode(mode).csv(path, sep="\t", quote="", escape="", emptyValue="", nullValue="")

@@ -221,3 +221,11 @@ def test_sources_and_sinks(spark, tmp_path):
     assert tables.read_binary(spark, p("m.json")).first().length > 0
     (tmp_path / "doc.json").write_text('{"a":\n 1}')
     assert tables.read_json_document(spark, p("doc.json"), "a int").first().a == 1
+    objects = spark.createDataFrame([("a/x.bin", b"12"), ("y.bin", b""), (None, b"z")], "key string, content binary")
+    tables.write_objects(objects, p("store"))
+    assert (tmp_path / "store/a/x.bin").read_bytes() == b"12" and (tmp_path / "store/y.bin").exists()
+    assert [r.value for r in tables.as_lines(spark.createDataFrame([("a", None, 1)], "a string, b string, c int"), ",").collect()] == ["a,,1"]
+    frame, seen = tables.observed(df)
+    frame.collect()
+    assert seen.get["rows"] == 2
+    assert [r.x for r in spark.createDataFrame([(0.125,), (2.0,), (None,)], "x double").select(text.two_places(F.col("x")).alias("x")).collect()] == ["0.13", "2.00", None]
