@@ -151,16 +151,15 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, n_cells: int
     ``n_cells`` defaults to the session's shuffle partitions.  Cell and group
     together decide a row's partition.
     """
-    spark = left.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pick = lambda df, side: usable(df).where("id IS NOT NULL AND grp IS NOT NULL").select("id", "grp", "latitude", "longitude", F.lit(side).cast("tinyint").alias("side"))
-    rows = pick(left, 0).unionByName(pick(right, 1))
-    return sweep(rows, radius_m, n_cells or parts, parts)
+    side = lambda df, k: df.select("id", "grp", "latitude", "longitude", F.lit(k).alias("side"))
+    return near_pairs_tagged(side(left, 0).unionByName(side(right, 1)), radius_m, n_cells)
 
 
-def sweep(rows: DataFrame, radius_m: float, n_cells: int, parts: int) -> DataFrame:
-    """:func:`near_pairs` of prepared rows, ``side`` 0 for left and 1 for right."""
-    cells = plan_cells(rows, radius_m, n_cells)
+def near_pairs_tagged(points: DataFrame, radius_m: float, n_cells: int | None = None) -> DataFrame:
+    """:func:`near_pairs` of both sides in one frame, read once: ``side`` is 0 for left, 1 for right, null for neither."""
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = usable(points).where("id IS NOT NULL AND grp IS NOT NULL AND side IN (0, 1)").select("id", "grp", "latitude", "longitude", F.col("side").cast("tinyint").alias("side"))
+    cells = plan_cells(rows, radius_m, n_cells or parts)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -374,8 +373,9 @@ def _strip_join(pts: DataFrame, shaped: DataFrame, per_degree: int = 256, salts:
 
 
 def message_points(messages: DataFrame) -> DataFrame:
-    """Messages with what the two relations need; ``grp`` is the day of ``sent_at``."""
-    return messages.select(F.col("msg_id").alias("id"), F.unix_date(F.to_date("sent_at")).cast("bigint").alias("grp"), "latitude", "longitude", "msg_type", F.col("block_id").alias("own"))
+    """Messages with what the two relations need; ``grp`` is the day of ``sent_at``, ``side`` 0 for requests and 1 for drivers."""
+    side = F.when(F.col("msg_type") == "RIDE_REQUEST", 0).when(F.col("msg_type").isin("DRIVER_LOCATION", "ENTERING_BLOCK"), 1)
+    return messages.select(F.col("msg_id").alias("id"), F.unix_date(F.to_date("sent_at")).cast("bigint").alias("grp"), "latitude", "longitude", side.alias("side"), F.col("block_id").alias("own"))
 
 
 def dispatch_relations(messages: DataFrame, blocks: DataFrame, radius_m: float = 30.0) -> DataFrame:
@@ -388,7 +388,7 @@ def dispatch_relations(messages: DataFrame, blocks: DataFrame, radius_m: float =
     delivered again counts once.
     """
     pts = message_points(messages)
-    pairs = near_pairs(pts.where("msg_type = 'RIDE_REQUEST'"), pts.where("msg_type IN ('DRIVER_LOCATION', 'ENTERING_BLOCK')"), radius_m)
+    pairs = near_pairs_tagged(pts, radius_m)
     near = pairs.where("left_id <> right_id").select(F.lit("near").alias("relation"), F.least("left_id", "right_id").alias("id_a"), F.greatest("left_id", "right_id").alias("id_b"))
     inside = containing_regions(pts, blocks).where("own IS NULL OR own <> region").select(F.lit("block").alias("relation"), F.col("region").cast("bigint").alias("id_a"), F.col("id").alias("id_b")).distinct()
     return near.unionByName(inside)
@@ -396,7 +396,6 @@ def dispatch_relations(messages: DataFrame, blocks: DataFrame, radius_m: float =
 
 def match_candidates(messages: DataFrame, radius_m: float = 30.0, n: int = 3) -> DataFrame:
     """For each ride request the ``n`` nearest driver messages of its day: ``request_id``, ``place``, ``driver_msg_id``, ``distance_m``."""
-    pts = message_points(messages)
-    pairs = near_pairs(pts.where("msg_type = 'RIDE_REQUEST'"), pts.where("msg_type IN ('DRIVER_LOCATION', 'ENTERING_BLOCK')"), radius_m)
+    pairs = near_pairs_tagged(message_points(messages), radius_m)
     w = Window.partitionBy("left_id").orderBy("distance_m", "right_id")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select(F.col("left_id").alias("request_id"), "place", F.col("right_id").alias("driver_msg_id"), F.round("distance_m", 3).alias("distance_m"))
