@@ -138,6 +138,19 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches, so that array work outweighs its calls."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, n_cells: int | None = None) -> DataFrame:
     """Pairs of a left and a right point of the same group within ``radius_m`` of each other.
 
@@ -155,14 +168,17 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, n_cells: int
     return near_pairs_tagged(side(left, 0).unionByName(side(right, 1)), radius_m, n_cells)
 
 
-def near_pairs_tagged(points: DataFrame, radius_m: float, n_cells: int | None = None) -> DataFrame:
-    """:func:`near_pairs` of both sides in one frame, read once: ``side`` is 0 for left, 1 for right, null for neither."""
+def near_pairs_tagged(points: DataFrame, radius_m: float, n_cells: int | None = None, batch_rows: int = 50_000) -> DataFrame:
+    """:func:`near_pairs` of both sides in one frame, read once: ``side`` is 0 for left, 1 for right, null for neither.
+
+    A task sweeps ``batch_rows`` rows at a time.
+    """
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = usable(points).where("id IS NOT NULL AND grp IS NOT NULL AND side IN (0, 1)").select("id", "grp", "latitude", "longitude", F.col("side").cast("tinyint").alias("side"))
     cells = plan_cells(rows, radius_m, n_cells or parts)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _chunks(batches):
             lat, lon, side = _column(b, "latitude"), _column(b, "longitude"), _column(b, "side")
             mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             row, cell, x = cells.reached(lat[theirs], lon[theirs])
@@ -173,15 +189,15 @@ def near_pairs_tagged(points: DataFrame, radius_m: float, n_cells: int | None =
 
     placed = rows.mapInArrow(spread, "cell int, grp bigint, latitude double, longitude double, id bigint, side tinyint")
     ordered = placed.repartition(parts, "cell", "grp").sortWithinPartitions("cell", "grp", "latitude", "longitude", "id", "side")
-    return ordered.mapInArrow(lambda batches: _sweep(batches, radius_m), "left_id bigint, right_id bigint, distance_m double")
+    return ordered.mapInArrow(lambda batches: _sweep(batches, radius_m, batch_rows), "left_id bigint, right_id bigint, distance_m double")
 
 
-def _sweep(batches: Iterator[pa.RecordBatch], radius_m: float) -> Iterator[pa.RecordBatch]:
+def _sweep(batches: Iterator[pa.RecordBatch], radius_m: float, most: int) -> Iterator[pa.RecordBatch]:
     """Pairs of rows in order of (cell, grp, latitude), with each pair found at its later row."""
     names = ("cell", "grp", "latitude", "longitude", "id", "side")
     active: list[np.ndarray] | None = None
     high = reach_degrees(np.zeros(1), radius_m)[0]
-    for b in batches:
+    for b in _chunks(batches, most):
         cols = [_column(b, n) for n in names]
         if not len(cols[0]):
             continue
@@ -343,7 +359,7 @@ def containing_regions(points: DataFrame, regions: DataFrame, most_corners: int
         held = _Active([(r["block_id"], r["ring_lat"], r["ring_lon"]) for r in shaped.select("block_id", "ring_lat", "ring_lon").collect()])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _chunks(batches):
                 row, block = held.hits(_column(b, "latitude"), _column(b, "longitude"))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("own").take(take), pa.array(block.astype(np.int32))], names=["id", "own", "region"])

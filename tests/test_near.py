@@ -75,7 +75,8 @@ def test_the_active_set_is_carried_across_batches(spark):
     try:
         rng = random.Random(9)
         left, right = cloud(rng, 60, 1, (40, 40.003, -74, -73.997)), cloud(rng, 80, 1000, (40, 40.003, -74, -73.997))
-        got = near.near_pairs(spark.createDataFrame(left, POINT), spark.createDataFrame(right, POINT), 70.0, 3).collect()
+        side = lambda rows, k: spark.createDataFrame(rows, POINT).withColumn("side", F.lit(k))
+        got = near.near_pairs_tagged(side(left, 0).unionByName(side(right, 1)), 70.0, 3, batch_rows=5).collect()
         assert sorted((r.left_id, r.right_id) for r in got) == sorted(brute(left, right, 70.0))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
