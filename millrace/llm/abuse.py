@@ -208,7 +208,7 @@ class _Corpus:
         return w
 
 
-def fit_field(texts: Sequence[str], verdicts: Sequence[Sequence[tuple[str, int]]], strength: float = 0.3, rounds: int = 2, folds: int = 3, steps: int = 50) -> Field:
+def fit_field(texts: Sequence[str], verdicts: Sequence[Sequence[tuple[str, int]]], strength: float = 0.5, rounds: int = 3, folds: int = 4, steps: int = 50) -> Field:
     """A field from tweets and their reviewers' verdicts; deterministic.
 
     Without any tweet the prior alone makes the field.
@@ -335,12 +335,12 @@ def score_tweets(tweets: DataFrame, labels: DataFrame, least: float = 0.5) -> Da
     one; null stays null), ``score``, ``abusive`` (score at least ``least``),
     ``spans`` ARRAY<STRUCT<start, stop, words>> in characters of the decoded
     text, ``peak``.  A tweet crawled several times counts once, by its row
-    crawled last.  Null, empty and blank texts score 0.  Rows without
+    with a text crawled last.  Null, empty and blank texts score 0.  Rows without
     ``tweetid`` are left out.  The field is fitted when the query is built.
     """
     model = fit_from_tables(tweets, labels)
     held = tweets.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    last = F.max(F.struct("crawled_at", "text", "source")).alias("r")
+    last = F.max(F.struct(F.col("text").isNotNull(), "crawled_at", "text", "source")).alias("r")
     each = tweets.where("tweetid IS NOT NULL").groupBy("tweetid").agg(last).select("tweetid", "r.text", "r.source")
     each = each.withColumn("source", F.regexp_replace(F.lower(F.trim("source")), r"\s+", " "))
 
