@@ -40,29 +40,31 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.distinct().groupBy(F.col("u").alias("node")).agg(F.sort_array(F.collect_list("v")).alias("follows"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, most_edges: int = 1_000_000) -> DataFrame:
     """``node`` and ``rank``; ranks sum to 1.
 
     Edges are made distinct and nulls left out.  Each round is
     (1 - damping)/n + damping * (what followers give + the dangling nodes' even
     share).  Edges, with their source's degree, and every round's ranks are
-    written to the checkpoint folder, edges by source and ranks by node in the
-    same partitioning: a round shuffles only what followers give, however many
-    rounds went before it.
+    written to the checkpoint folder, edges partitioned by source and ranks by
+    node: a round shuffles ranks and what followers give, never the edges, and
+    costs the same however many went before it.  A source of more than
+    ``most_edges`` edges is spread over several partitions, each with a copy of
+    its rank.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = edges.where("u IS NOT NULL AND v IS NOT NULL").select("u", "v").distinct()
-    out = links.groupBy("u").agg(F.count(F.lit(1)).alias("degree"))
-    weighted = cut_lineage(links.join(out, "u").repartition(parts, "u"))
-    every = nodes(weighted)
-    ranks = cut_lineage(every.join(out.select(F.col("u").alias("node"), F.lit(True).alias("gives")), "node", "left").withColumn("gives", F.coalesce("gives", F.lit(False))).repartition(parts, "node"))
+    out = links.groupBy("u").agg(F.count(F.lit(1)).alias("degree")).withColumn("copies", F.ceil(F.col("degree") / most_edges).cast("int"))
+    weighted = cut_lineage(links.join(out, "u").select("u", F.pmod(F.xxhash64("v"), F.col("copies")).cast("int").alias("part"), "v", "degree").repartition(parts, "u", "part"))
+    ranks = cut_lineage(nodes(weighted).join(out.select(F.col("u").alias("node"), "copies"), "node", "left").repartition(parts, "node"))
     n = ranks.count()
     if not n:
         return ranks.select("node", F.lit(0.0).alias("rank"))
     ranks = ranks.withColumn("rank", F.lit(1.0 / n))
     for _ in range(iterations):
-        lost = ranks.where("NOT gives").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        given = weighted.join(ranks.select(F.col("node").alias("u"), "rank"), "u").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
+        lost = ranks.where("copies IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        giving = ranks.where("copies IS NOT NULL").select(F.col("node").alias("u"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), "rank")
+        given = weighted.join(giving, ["u", "part"]).groupBy(F.col("v").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
         base = (1 - damping) / n + damping * lost / n
-        ranks = cut_lineage(ranks.select("node", "gives").join(given, "node", "left").select("node", "gives", (F.lit(base) + damping * F.coalesce("given", F.lit(0.0))).alias("rank")))
+        ranks = cut_lineage(ranks.select("node", "copies").join(given, "node", "left").select("node", "copies", (F.lit(base) + damping * F.coalesce("given", F.lit(0.0))).alias("rank")))
     return ranks.select("node", "rank")
