@@ -95,9 +95,9 @@ def field_totals(messages: DataFrame, tag_rows: DataFrame) -> DataFrame:
     )).alias("s")).select("s.*").where("key_value IS NOT NULL")
     entries = compact(blocks, ["block_id"]).select(F.lit("block_id").alias("field_name"), F.col("block_id").cast("string").alias("key_value"), "n").unionByName(both)
     keys = entries.groupBy("field_name", "key_value").agg(F.sum("n").alias("entries"))
-    fields = entries.groupBy("field_name").agg(F.sum("n").alias("field_entries"))
+    fields = keys.groupBy("field_name").agg(F.sum("entries").alias("field_entries"))
     keyed = keys.withColumn("n_keys", F.lit(1).cast("bigint"))
-    totals = fields.withColumn("n_fields", F.lit(1).cast("bigint"))
+    totals = F.broadcast(fields.withColumn("n_fields", F.lit(1).cast("bigint")))  # three rows; keys need not gather by field
     joined = eager_join(keyed, totals, ["field_name"], ["field_name", "key_value"], ["entries"], ["field_entries"], "n_keys", "n_fields")
     return joined.select("field_name", "key_value", "entries", "field_entries", (F.col("entries") / F.col("field_entries")).alias("share"))
 
