@@ -64,6 +64,46 @@ def current_rows(base: DataFrame) -> DataFrame:
     return base.where("tweetid IS NOT NULL").withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def fold_actions(actions: DataFrame) -> DataFrame:
+    """A row a tweet named by a valid action: what of the log still matters.
+
+    ``tweetid``, ``row_seq`` and ``row_op`` of the last write or delete, its
+    ``doc`` if a write, and of each field ``<field>_set`` and ``<field>_value``,
+    the seq and value of its last set.
+    """
+    latest = latest_changes(valid_actions(actions))
+    of = lambda slot, c: F.max(F.when(F.col("slot") == slot, F.col(c)))
+    return latest.groupBy("tweetid").agg(
+        of("row", "seq").alias("row_seq"), of("row", "op").alias("row_op"), F.any_value(F.when(F.col("slot") == "row", F.col("doc")), True).alias("doc"),
+        *[x for f in FIELDS for x in (of(f, "seq").alias(f"{f}_set"), of(f, "value").alias(f"{f}_value"))],
+    )
+
+
+ALIVE = "row_op = 'write' OR (row_op IS NULL AND base_id IS NOT NULL)"
+
+
+def _after(field: str):
+    """Whether a field's last set comes after the last write or delete."""
+    return F.col(f"{field}_set") > F.coalesce("row_seq", F.lit(-(2**62)))
+
+
+def _origins() -> list:
+    seq = lambda f: F.when(_after(f), F.col(f"{f}_set")).otherwise(F.coalesce("row_seq", F.lit(0))).cast("bigint")
+    return [seq("text").alias("text_seq"), seq("favorite_count").alias("favorite_seq"), seq("retweet_count").alias("retweet_seq")]
+
+
+def change_origins(base: DataFrame, actions: DataFrame) -> DataFrame:
+    """Of each tweet named by a valid action that exists after all of them, where its values come from.
+
+    ``tweetid``, ``text_seq``, ``favorite_seq``, ``retweet_seq``: the same rows
+    and numbers as the named ones of :func:`apply_changes`, without the values,
+    so only ids are read of the base and only keys of the log are shuffled.
+    """
+    ids = base.where("tweetid IS NOT NULL").select(F.col("tweetid").alias("base_id")).distinct()
+    both = fold_actions(actions).join(ids, F.col("tweetid") == F.col("base_id"), "left")
+    return both.where(ALIVE).select("tweetid", *_origins())
+
+
 def apply_changes(base: DataFrame, actions: DataFrame) -> DataFrame:
     """The tweets that exist after all valid actions, with the origin of their values.
 
@@ -78,23 +118,13 @@ def apply_changes(base: DataFrame, actions: DataFrame) -> DataFrame:
     delete voids all before it, only the last of each and later sets matter.
     Empty inputs are fine; a count beyond 64 bits becomes null.
     """
-    latest = latest_changes(valid_actions(actions))
-    of = lambda slot, c: F.max(F.when(F.col("slot") == slot, F.col(c)))
-    folded = latest.groupBy("tweetid").agg(
-        of("row", "seq").alias("row_seq"), of("row", "op").alias("row_op"), F.any_value(F.when(F.col("slot") == "row", F.col("doc")), True).alias("doc"),
-        *[x for f in FIELDS for x in (of(f, "seq").alias(f"{f}_set"), of(f, "value").alias(f"{f}_value"))],
-    )
     kept = current_rows(base).select(F.col("tweetid").alias("base_id"), *[F.col(c).alias(f"base_{c}") for c in ("created_at", "uuid", "username", "text", "favorite_count", "retweet_count", "source")])
-    both = folded.join(kept, F.col("tweetid") == F.col("base_id"), "full_outer")
-    alive = both.where("row_op = 'write' OR (row_op IS NULL AND base_id IS NOT NULL)")
+    both = fold_actions(actions).join(kept, F.col("tweetid") == F.col("base_id"), "full_outer")
     written = F.col("row_op").isNotNull()
-    after = {f: F.col(f"{f}_set") > F.coalesce("row_seq", F.lit(-(2**62))) for f in FIELDS}
     start = lambda path, col: F.when(written, F.col(f"doc.{path}")).otherwise(F.col(f"base_{col}"))
     kinds = {"text": "string", "favorite_count": "bigint", "retweet_count": "bigint"}
-    value = lambda f: F.when(after[f], F.col(f"{f}_value").try_cast(kinds[f])).otherwise(start(f, f)).alias(f)
-    seq = lambda f: F.when(after[f], F.col(f"{f}_set")).otherwise(F.coalesce("row_seq", F.lit(0))).cast("bigint")
-    return alive.select(
+    value = lambda f: F.when(_after(f), F.col(f"{f}_value").try_cast(kinds[f])).otherwise(start(f, f)).alias(f)
+    return both.where(ALIVE).select(
         F.coalesce("tweetid", "base_id").alias("tweetid"), start("created_at", "created_at").alias("created_at"), start("user.id", "uuid").alias("uuid"), start("user.screen_name", "username").alias("username"),
-        *[value(f) for f in FIELDS], F.when(~written, F.col("base_source")).alias("source"),
-        seq("text").alias("text_seq"), seq("favorite_count").alias("favorite_seq"), seq("retweet_count").alias("retweet_seq"), F.col("tweetid").isNotNull().alias("named"),
+        *[value(f) for f in FIELDS], F.when(~written, F.col("base_source")).alias("source"), *_origins(), F.col("tweetid").isNotNull().alias("named"),
     )

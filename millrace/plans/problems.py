@@ -32,16 +32,12 @@ def p2_block_pairs(spark, root):
     return eager.pair_totals(table(spark, root, "driver_messages"))
 
 
-def _applied(spark, root):
-    return changes.apply_changes(table(spark, root, "q4"), table(spark, root, "q4_actions"))
-
-
 def p5_found(spark, root):
-    return _applied(spark, root).where("named").select("tweetid", "text_seq", "favorite_seq", "retweet_seq")
+    return changes.change_origins(table(spark, root, "q4"), table(spark, root, "q4_actions"))
 
 
 def p5_tweets(spark, root):
-    return _applied(spark, root).select("tweetid", "uuid", "username", "text", "favorite_count", "retweet_count", "source")
+    return changes.apply_changes(table(spark, root, "q4"), table(spark, root, "q4_actions")).select("tweetid", "uuid", "username", "text", "favorite_count", "retweet_count", "source")
 
 
 QUERIES = {

@@ -28,7 +28,9 @@ def tweet(i, text="base", f=10, r=20, at=1):
 
 
 def run(spark, tweets, actions):
-    got = changes.apply_changes(spark.createDataFrame(tweets, TWEET), spark.createDataFrame(actions, ACTION))
+    base, log = spark.createDataFrame(tweets, TWEET), spark.createDataFrame(actions, ACTION)
+    got = changes.apply_changes(base, log)
+    assert sorted(tuple(r) for r in changes.change_origins(base, log).collect()) == sorted((r.tweetid, r.text_seq, r.favorite_seq, r.retweet_seq) for r in got.where("named").collect())
     return {r.tweetid: (r.text, r.favorite_count, r.retweet_count, r.text_seq, r.favorite_seq, r.retweet_seq, r.named) for r in got.collect()}
 
 
