@@ -53,20 +53,18 @@ class Cells:
 
     def __init__(self, bounds: Sequence[float], cuts: dict[int, Sequence[float]], radius_m: float):
         self.bounds, self.radius_m = np.asarray(bounds, float), radius_m
-        self.cuts = {k: np.asarray(v, float) for k, v in cuts.items()}
-        sizes = np.ones(len(self.bounds) + 1, np.int64)
-        for k, v in self.cuts.items():
-            sizes[k] = len(v) + 1
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        # all cuts in one sorted array: strips lie further apart than longitudes can be
+        self.cuts = np.array([self._key(k, x) for k in sorted(cuts) for x in sorted(cuts[k])], float)
+
+    @staticmethod
+    def _key(strip, lon):
+        return strip * 2_000.0 + (lon + 1_000.0)
+
+    def _cell(self, strip: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        return strip + np.searchsorted(self.cuts, self._key(strip, lon), "right")
 
     def own(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-        strip = np.searchsorted(self.bounds, lat, "right")
-        cell = self.first[strip]
-        for k, v in self.cuts.items():
-            at = strip == k
-            if at.any():
-                cell[at] += np.searchsorted(v, lon[at], "right")
-        return cell
+        return self._cell(np.searchsorted(self.bounds, lat, "right"), lon)
 
     def reached(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, longitude) for every cell within the radius.
@@ -77,29 +75,37 @@ class Cells:
         # the box of a left point reaches no right point further off than this
         high, wide = reach_degrees(np.minimum(np.abs(lat) + reach_degrees(lat, self.radius_m)[0], 90.0), self.radius_m)
         row = np.arange(len(lat))
-        parts = [(row, lon)]
-        for shift, near in ((360.0, lon - wide <= -180), (-360.0, lon + wide >= 180)):
-            parts.append((row[near], lon[near] + shift))
-        row, lon = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        west, east = lon - wide <= -180, lon + wide >= 180
+        row, lon = np.concatenate([row, row[west], row[east]]), np.concatenate([lon, lon[west] + 360.0, lon[east] - 360.0])
         low, top = np.searchsorted(self.bounds, lat[row] - high, "right"), np.searchsorted(self.bounds, lat[row] + high, "right")
-        n = top - low + 1
-        at = np.repeat(np.arange(len(row)), n)
-        strip = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        at, strip = _runs(low, top)
         row, lon = row[at], lon[at]
-        if not self.cuts:
-            return row, self.first[strip], lon
-        rows, cells, lons = [], [], []
-        cut = np.isin(strip, list(self.cuts))
-        rows.append(row[~cut]), cells.append(self.first[strip[~cut]]), lons.append(lon[~cut])
-        for k, v in self.cuts.items():
-            m = strip == k
-            r, x = row[m], lon[m]
-            a, b = np.searchsorted(v, x - wide[r], "right"), np.searchsorted(v, x + wide[r], "right")
-            n = b - a + 1
-            at = np.repeat(np.arange(len(r)), n)
-            rows.append(r[at]), lons.append(x[at])
-            cells.append(self.first[k] + a[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n))
-        return np.concatenate(rows), np.concatenate(cells), np.concatenate(lons)
+        at, cell = _runs(self._cell(strip, lon - wide[row]), self._cell(strip, lon + wide[row]))
+        return row[at], cell, lon[at]
+
+
+def _runs(low: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, x) for every i and every x from low[i] to top[i]."""
+    n = top - low + 1
+    at = np.repeat(np.arange(len(low)), n)
+    return at, low[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches, so that array work outweighs its calls."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def plan_cells(points: DataFrame, radius_m: float, n_cells: int) -> Cells:
@@ -124,31 +130,17 @@ def plan_cells(points: DataFrame, radius_m: float, n_cells: int) -> Cells:
     crowded = {k: n for k, n in enumerate(loads) if n >= 3}
     cuts: dict[int, list[float]] = {}
     if crowded:
-        edges = [-np.inf, *bounds, np.inf]
-        strip = F.lit(None).cast("int")
-        for k in crowded:
-            strip = F.when((F.col("latitude") >= float(edges[k])) & (F.col("latitude") < float(edges[k + 1])), F.lit(k)).otherwise(strip)
-        most = max(crowded.values())
-        rows = points.select(strip.alias("strip"), "longitude").where("strip IS NOT NULL").groupBy("strip").agg(F.percentile_approx("longitude", [(i + 1) / most for i in range(most - 1)], accuracy).alias("q")).collect()
-        cuts = {r["strip"]: sorted(set(r["q"])) for r in rows if r["q"]}
-    return Cells(bounds, cuts, radius_m)
-
-
-def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(name).to_numpy(zero_copy_only=False)
+        edges, wanted, most = np.array(bounds), np.array(sorted(crowded)), max(crowded.values())
 
+        def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _chunks(batches):
+                strip = np.searchsorted(edges, _column(b, "latitude"), "right")
+                m = np.isin(strip, wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(strip[m].astype(np.int32)), pa.array(_column(b, "longitude")[m])], names=["strip", "longitude"])
 
-def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """The same rows in larger batches, so that array work outweighs its calls."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n = [], 0
-    if n:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        rows = points.select("latitude", "longitude").mapInArrow(labelled, "strip int, longitude double").groupBy("strip").agg(F.percentile_approx("longitude", [(i + 1) / most for i in range(most - 1)], accuracy).alias("q")).collect()
+        cuts = {r["strip"]: sorted(set(r["q"])) for r in rows if r["q"]}
+    return Cells(bounds, cuts, radius_m)
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, n_cells: int | None = None) -> DataFrame:
@@ -338,7 +330,7 @@ class _Active:
         return np.concatenate(rows), np.concatenate(blocks)
 
 
-def containing_regions(points: DataFrame, regions: DataFrame, most_corners: int = 2_000_000) -> DataFrame:
+def containing_regions(points: DataFrame, regions: DataFrame, most_corners: int = 500_000) -> DataFrame:
     """Every usable point with each region that contains it.
 
     ``points`` has ``id``, ``latitude``, ``longitude`` and ``own`` (any INT, kept);
@@ -346,7 +338,7 @@ def containing_regions(points: DataFrame, regions: DataFrame, most_corners: int
     A point in several regions gives several rows; a point in none gives none.
     Several rows of a point give several rows.
 
-    Up to ``most_corners`` corners (32 MB) the rings go to every task, which
+    Up to ``most_corners`` corners (8 MB) the rings go to every task, which
     sorts its points by latitude line and longitude and sweeps them past the
     rings of each line, without any shuffle of points.  Beyond it, rings are
     spread over latitude strips and joined with the points of each strip.
@@ -356,11 +348,12 @@ def containing_regions(points: DataFrame, regions: DataFrame, most_corners: int
     pts = usable(points).where("id IS NOT NULL").select("id", "own", "latitude", "longitude")
     schema = "id bigint, own int, region int"
     if corners <= most_corners:
-        held = _Active([(r["block_id"], r["ring_lat"], r["ring_lon"]) for r in shaped.select("block_id", "ring_lat", "ring_lon").collect()])
+        rows = [(r["block_id"], r["ring_lat"], r["ring_lon"]) for r in shaped.select("block_id", "ring_lat", "ring_lon").collect()]
+        held = points.sparkSession.sparkContext.broadcast(_Active(rows))  # bounded by most_corners
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _chunks(batches):
-                row, block = held.hits(_column(b, "latitude"), _column(b, "longitude"))
+                row, block = held.value.hits(_column(b, "latitude"), _column(b, "longitude"))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("own").take(take), pa.array(block.astype(np.int32))], names=["id", "own", "region"])
 

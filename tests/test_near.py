@@ -48,7 +48,7 @@ def test_a_crowd_on_one_latitude_is_cut_by_longitude(spark):
     right = [(1000 + i, 0, 10.0, rng.uniform(20, 20.05)) for i in range(300)]
     both = spark.createDataFrame(left + right, POINT)
     cells = near.plan_cells(both, 30.0, 20)
-    assert cells.cuts
+    assert len(cells.cuts)
     got = near.near_pairs(spark.createDataFrame(left, POINT), spark.createDataFrame(right, POINT), 30.0, 20)
     rows = [(r.left_id, r.right_id) for r in got.collect()]
     assert sorted(rows) == sorted(brute(left, right, 30.0))
