@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import lines, ngrams, words
+from millrace.session import spread
 
 #: Least probability (exclusive) and most suffixes by suffix length; fixed values of the phrase model.
 LEAST = {1: 0.05, 2: 0.03, 3: 0.01, 4: 0.005}
@@ -25,7 +26,7 @@ def ngram_counts(texts: DataFrame, clean=None, column: str = "text", longest: in
     ``clean`` turns a line into blank-separated words.  Lines are parted first,
     so a row of runs is as long as a line, not as a text.
     """
-    line = texts.select(F.explode(lines(F.col(column))).alias("line"))
+    line = spread(texts.select(column)).select(F.explode(lines(F.col(column))).alias("line"))
     if clean is not None:
         line = line.select(clean(F.col("line")).alias("line"))
     runs = line.where("trim(line) <> ''").select(F.explode(ngrams(words(F.col("line")), longest, short_of_whole)).alias("phrase"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import qr, text
 from millrace.operators import alarms, dispatch, graph, media, ngrams, pageviews, tweets
 from millrace.operators.changes import current_rows
-from millrace.session import ensure_checkpoint_dir
+from millrace.session import ensure_checkpoint_dir, spread
 from millrace.sources.tables import table
 from millrace.streaming import matching
 
@@ -195,12 +195,12 @@ def frame_sample(spark, root):
 
 
 def qr_roundtrip(spark, root):
-    c = table(spark, root, "customer").select("c_custkey", "c_name")
+    c = spread(table(spark, root, "customer").select("c_custkey", "c_name"))
     return c.select("c_custkey", qr.qr_decode(qr.qr_canvas("c_name")).alias("decoded"))
 
 
 def qr_codes(spark, root):
-    return table(spark, root, "customer").select("c_custkey", qr.qr_encode("c_name").alias("code"))
+    return spread(table(spark, root, "customer").select("c_custkey", "c_name")).select("c_custkey", qr.qr_encode("c_name").alias("code"))
 
 
 def _stream(spark, root, name):

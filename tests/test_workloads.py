@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import alarms, dispatch, graph, media, ngrams, pageviews, tweets
+from millrace.session import spread
 from millrace.sources import tables
 from millrace.streaming import matching
 
@@ -49,6 +50,13 @@ def test_counts_of_runs(spark):
     assert {r.word: r.n for r in ngrams.word_count(df).collect()} == {"a": 3, "b": 3, "A": 1, "!!": 1}
 
 
+def test_spreading_keeps_rows(spark):
+    one = spark.range(1000).coalesce(1)
+    assert spread(one).count() == 1000 and spread(one)._jdf.queryExecution().toRdd().getNumPartitions() >= 4
+    many = spark.range(0, 100, 1, 16)
+    assert spread(many) is many
+
+
 def test_next_words_and_completions(spark):
     c = lambda d: spark.createDataFrame(list(d.items()), "phrase string, n bigint")
     got = [(r.prefix, r.suffix, round(r.prob, 6)) for r in ngrams.next_words(c({"a": 10, "a b": 6, "a c": 6, "a d": 1, "z z": 3}), 2).collect()]
