@@ -62,9 +62,10 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, most
         return ranks.select("node", F.lit(0.0).alias("rank"))
     ranks = ranks.withColumn("rank", F.lit(1.0 / n))
     for _ in range(iterations):
-        lost = ranks.where("copies IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        # a subquery rather than a literal: the same code then serves every round
+        lost = ranks.where("copies IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
         giving = ranks.where("copies IS NOT NULL").select(F.col("node").alias("u"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), "rank")
         given = weighted.join(giving, ["u", "part"]).groupBy(F.col("v").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
-        base = (1 - damping) / n + damping * lost / n
-        ranks = cut_lineage(ranks.select("node", "copies").join(given, "node", "left").select("node", "copies", (F.lit(base) + damping * F.coalesce("given", F.lit(0.0))).alias("rank")))
+        base = F.lit((1 - damping) / n) + lost * F.lit(damping / n)
+        ranks = cut_lineage(ranks.select("node", "copies").join(given, "node", "left").select("node", "copies", (base + F.lit(damping) * F.coalesce("given", F.lit(0.0))).alias("rank")))
     return ranks.select("node", "rank")
