@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import tokenizing
+from millrace.session import spread
 
 LIMIT = 512
 OVERLAP = 64
@@ -314,7 +315,7 @@ def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
     # a text has no more tokens than bytes
     some = documents.select("doc_id", "text", F.octet_length("text").cast("bigint").alias("size")).where(F.col("size") > limit)
     short = some.where(F.col("size") <= range_bytes).select("doc_id", F.col("text").cast("binary").alias("data"))
-    done = short.mapInArrow(lambda b: _whole(b, limit, overlap, tokenizer), f"doc_id bigint, {PIECE}, text string")
+    done = spread(short).mapInArrow(lambda b: _whole(b, limit, overlap, tokenizer), f"doc_id bigint, {PIECE}, text string")
 
     big = some.where(F.col("size") > range_bytes).select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "size", "doc_id").alias("k2"), "doc_id", "size", F.col("text").cast("binary").alias("data"))
     width = F.lit(range_bytes)

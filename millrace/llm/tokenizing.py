@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import spread
+
 #: Where the vocabulary files are unless a caller says otherwise.
 DEFAULT = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual split of byte-level vocabularies; a fixed value of the vocabulary.
@@ -54,4 +56,4 @@ def token_counts(texts: DataFrame, keep: list[str], path: str = DEFAULT) -> Data
             n = [len(encode(t.as_py())) if t.is_valid else 0 for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
-    return texts.select(*keep, F.col("text")).mapInArrow(scan, schema)
+    return spread(texts.select(*keep, F.col("text"))).mapInArrow(scan, schema)
