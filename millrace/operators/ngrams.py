@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import lines, ngrams, words
-from millrace.session import spread
+from millrace.session import cut_lineage, spread
 
 #: Least probability (exclusive) and most suffixes by suffix length; fixed values of the phrase model.
 LEAST = {1: 0.05, 2: 0.03, 3: 0.01, 4: 0.005}
@@ -41,8 +41,11 @@ def ratio(part: Column, whole: Column) -> Column:
 def next_words(counts: DataFrame, n: int = 5) -> DataFrame:
     """``prefix``, ``suffix``, ``prob``: the ``n`` likeliest words after each phrase that is counted itself.
 
-    Order is by count, equal counts by word.
+    Order is by count, equal counts by word.  ``counts`` is needed as phrases
+    and as prefixes; it is written once, as filters on either use would else
+    keep them from sharing the counting.
     """
+    counts = cut_lineage(counts)
     w = F.split("phrase", " ")
     ext = counts.select(w.alias("w"), "n").where(F.size("w") >= 2).select(F.array_join(F.slice("w", F.lit(1), F.size("w") - 1), " ").alias("prefix"), F.element_at("w", -1).alias("suffix"), "n")
     joined = ext.join(counts.select(F.col("phrase").alias("prefix"), F.col("n").alias("whole")), "prefix")
@@ -63,7 +66,9 @@ def phrase_completions(counts: DataFrame, least: Mapping[int, float] = LEAST, mo
 
     By suffix length, a completion's probability must be over ``least`` and it
     must be among the ``most`` most frequent of its prefix, equal counts by text.
+    ``counts`` is written once, as in :func:`next_words`.
     """
+    counts = cut_lineage(counts)
     w = F.split("phrase", " ")
     cut = lambda i: F.struct(F.array_join(F.slice("w", F.lit(1), i), " ").alias("prefix"), F.array_join(F.slice("w", i + 1, F.size("w") - i), " ").alias("suffix"), (F.size("w") - i).alias("suffix_len"))
     splits = counts.select(w.alias("w"), "n").where(F.size("w") >= 2).select("n", F.inline(F.transform(F.sequence(F.lit(1), F.size("w") - 1), cut))).where(F.col("suffix_len") <= max(least))
