@@ -100,27 +100,33 @@ class Field:
 def forward_backward(e: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log Z, marginal of T, expected transitions O-T, T-O and T-T) of padded rows of emissions.
 
-    Works in logs; a row of no tokens has log Z 0.
+    Forward values are scaled to sum 1 at each token, so Z is the product of
+    the scales.  Emissions beyond +-60 count as that.  A row of no tokens has
+    log Z 0.
     """
     n, width = e.shape
-    ot, to, tt = trans
-    valid = np.arange(width)[None, :] < length[:, None]
-    fo, ft = np.zeros((width + 1, n)), np.full((width + 1, n), -np.inf)
-    for i in range(width):
-        o = np.logaddexp(fo[i], ft[i] + to)
-        t = np.logaddexp(fo[i] + ot, ft[i] + tt) + e[:, i]
-        fo[i + 1], ft[i + 1] = np.where(valid[:, i], o, fo[i]), np.where(valid[:, i], t, ft[i])
-    logz = np.logaddexp(fo[-1], ft[-1])
-    bo, bt = np.zeros(n), np.zeros(n)
-    marginal, pairs = np.zeros((n, width)), np.zeros((n, 3))
-    for i in range(width - 1, -1, -1):
-        v = valid[:, i]
-        marginal[:, i] = np.where(v, np.exp(ft[i + 1] + bt - logz), 0)
-        p = np.stack([fo[i] + ot + e[:, i] + bt, ft[i] + to + bo, ft[i] + tt + e[:, i] + bt], 1) - logz[:, None]
-        pairs += np.where(v[:, None], np.exp(p), 0)
-        o, t = np.logaddexp(bo, ot + e[:, i] + bt), np.logaddexp(to + bo, tt + e[:, i] + bt)
-        bo, bt = np.where(v, o, bo), np.where(v, t, bt)
-    return logz, marginal, pairs
+    ot, to, tt = np.exp(np.clip(trans, -60, 60))
+    x = np.ascontiguousarray(np.exp(np.clip(e, -60, 60)).T)
+    last = int(length.max(initial=0))
+    valid = np.arange(width)[:, None] < length[None, :]
+    fo, ft, scale = np.ones((width + 1, n)), np.zeros((width + 1, n)), np.ones((width, n))
+    for i in range(last):
+        o, t = fo[i] + ft[i] * to, (fo[i] * ot + ft[i] * tt) * x[i]
+        c, v = o + t, valid[i]
+        fo[i + 1], ft[i + 1] = np.where(v, o / c, fo[i]), np.where(v, t / c, ft[i])
+        scale[i] = np.where(v, c, 1.0)
+    logz = np.log(scale).sum(0)
+    bo, bt = np.ones(n), np.ones(n)
+    marginal, pairs = np.zeros((width, n)), np.zeros((3, n))
+    for i in range(last - 1, -1, -1):
+        v, c = valid[i], scale[i]
+        ahead = x[i] * bt / c
+        marginal[i] = np.where(v, ft[i + 1] * bt, 0)
+        pairs[0] += np.where(v, fo[i] * ot * ahead, 0)
+        pairs[1] += np.where(v, ft[i] * to * bo / c, 0)
+        pairs[2] += np.where(v, ft[i] * tt * ahead, 0)
+        bo, bt = np.where(v, bo / c + ot * ahead, bo), np.where(v, to * bo / c + tt * ahead, bt)
+    return logz, marginal.T, pairs.T
 
 
 class _Corpus:
