@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +30,7 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
         "spark.ui.enabled": "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
-    return builder.config(map=settings).getOrCreate()
+    return ship(builder.config(map=settings).getOrCreate())
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -64,3 +66,22 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable by the session's Python workers, wherever the driver found it.
+
+    Spark's file server hands out a zip of the sources, once a session context.
+    Not needed where the package is installed on every machine, and harmless
+    there.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", None) is None:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, Path(package.name) / p.relative_to(package))
+        sc.addPyFile(str(target))
+        sc._millrace_shipped = str(target)
+    return spark
