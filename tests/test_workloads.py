@@ -15,7 +15,7 @@ from millrace.sources import tables
 from millrace.streaming import matching
 
 LINES = {
-    "en Carnegie 10 0": ("Carnegie", 10), "en.m Carnegie 5 0": ("Carnegie", 5), "de Berlin 5 0": None, "en Foo 10": None, "enXm Foo 1 0": None, "en %41%42c 5 0": ("ABc", 5), "en A%42 5 0": ("AB", 5),
+    "en Aqueduct 10 0": ("Aqueduct", 10), "en.m Aqueduct 5 0": ("Aqueduct", 5), "de Berlin 5 0": None, "en Foo 10": None, "enXm Foo 1 0": None, "en %41%42c 5 0": ("ABc", 5), "en A%42 5 0": ("AB", 5),
     "en Caf%C3%A9 7 0": ("Café", 7), "en %C3%A9t 7 0": ("ét", 7), "en %C3%A9 7 0": ("é", 7), "en File%3AFoo.png 3 0": None, "en User_talk:Bob 3 0": None, "en Media:x 1 0": None, "en Talk:x 1 0": None, "en Topic:Abc 5 0": None,
     "en iPod 4 0": None, "en Mercury_(disambiguation) 4 0": None, "en Foo.TXT 1 0": None, "en Main_Page 9 0": None, "en 404.php 9 0": None, "en - 9 0": None, "en 404Xphp 1 0": ("404Xphp", 1), "en A+B 2 0": ("A+B", 2),
     "en 100% 2 0": ("100%", 2), "en Foo x 0": ("Foo", 0), "en  5 0": None, "": None, "en a b c d": None, None: None,
