@@ -65,7 +65,10 @@ def spread(df: DataFrame) -> DataFrame:
     row groups.  A table of many parts is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df
+    query = df._jdf.queryExecution()
+    if query.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df  # it shuffles already, and counting its partitions would run it
+    return df.repartition(cores) if query.toRdd().getNumPartitions() * 2 <= cores else df
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -54,7 +54,8 @@ def test_spreading_keeps_rows(spark):
     one = spark.range(1000).coalesce(1)
     assert spread(one).count() == 1000 and spread(one)._jdf.queryExecution().toRdd().getNumPartitions() >= 4
     many = spark.range(0, 100, 1, 16)
-    assert spread(many) is many
+    grouped = one.groupBy("id").count()
+    assert spread(many) is many and spread(grouped) is grouped
 
 
 def test_next_words_and_completions(spark):
