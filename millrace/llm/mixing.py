@@ -25,7 +25,6 @@ from millrace.session import cut_lineage
 BLOCK_TOKENS = 256
 SHARDS = 128
 MOST_SOURCES = 10_000
-MASK64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 @dataclass(frozen=True)
