@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from millrace.operators import changes, eager, near
 from millrace.sources.tables import table
 
