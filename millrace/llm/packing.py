@@ -131,17 +131,163 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
     return [(tuple(sorted(h.items(), reverse=True)), c) for _, c, h in groups]
 
 
+def fullest(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to the capacity what can be held at most at these prices, and the index of a size to take there, -1 for none.
+
+    ``sizes`` ascend.  Every size is looked at, any number of times.
+    """
+    best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    for w in range(int(sizes[0]), capacity + 1):
+        offers = best[w - sizes[:upto[w]]] + prices[:upto[w]]
+        k = int(offers.argmax())
+        best[w], taken[w] = max((offers[k], k), (best[w - 1], -1))
+    return best, taken
+
+
+WORK = 4e10  # pivots times the square of the sizes: less than half a minute
+
+
+def relax(hist: dict[int, int], capacity: int, known: Sequence[Filling] = (), enough: float = 0.0, gap: float = 1e-4, batch: int = 32) -> tuple[dict[Filling, float], float]:
+    """The configuration program by generated columns: ({configuration: containers}, a bound no packing goes below).
+
+    Simplex over the configurations found so far, ``known`` ones first, gives a
+    price to each size; configurations worth most at these prices, or at
+    prices drawn towards the best so far, enter.  The prices' total over the
+    worth of the best configuration is a bound (Farley's).  A configuration is
+    judged by its worth alone, not by how full it is.  The search ends when the
+    bound reaches ``enough`` or shows that no better whole number is left, or
+    at most ``gap`` of all containers; or after ``WORK``, and then bound and
+    program are as far apart as they are.
+    """
+    sizes = np.array(sorted(k for k, n in hist.items() if k > 0 and n > 0), np.int64)
+    if not len(sizes):
+        return {}, 0.0
+    demand = np.array([hist[int(k)] for k in sizes], float)
+    m = len(sizes)
+    each = capacity // sizes
+    columns: list[dict[int, int]] = [{k: int(each[k])} for k in range(m)]  # {-1: k}: more of size k than there is
+    inverse, x, cost = np.diag(1.0 / each), demand / each, np.ones(m)
+    prices, bound, pivots = 1.0 / each, float(sizes @ demand) / capacity, 0
+    center, pull = sizes / capacity, 0.8  # prices of the best bound, and how far towards them
+    most = max(int(WORK / m**2), 100)
+    at = {int(size): k for k, size in enumerate(sizes)}
+    pool = [{at[size]: c for size, c in config} for config in known]
+    wide = max((len(c) for c in pool), default=0)
+    held, copies = (np.array([[*of(c), *[0] * (wide - len(c))] for c in pool], np.int64).reshape(len(pool), wide) for of in (dict.keys, dict.values))
+
+    def enter(column: dict[int, int], value: float, real: bool) -> bool:
+        nonlocal inverse, x, prices, pivots
+        u = sum(inverse[:, k] * c for k, c in column.items())
+        ok = np.flatnonzero(u > 1e-9)
+        if not len(ok):
+            return False
+        ratios = x[ok] / u[ok]
+        near = ok[ratios <= ratios.min() + 1e-9]
+        r = int(near[u[near].argmax()])
+        step = max(x[r] / u[r], 0.0)
+        x = np.maximum(x - step * u, 0.0)
+        x[r] = step
+        row = inverse[r] / u[r]
+        some = np.flatnonzero(np.abs(u) > 1e-13)
+        inverse[some] -= np.outer(u[some], row)
+        inverse[r] = row
+        prices = prices + value * row
+        columns[r], cost[r] = (column if real else {-1: next(iter(column))}), float(real)
+        pivots += 1
+        if pivots % 500 == 0:  # against errors that add up
+            basis = np.zeros((m, m))
+            for j, column_held in enumerate(columns):
+                for k, c in column_held.items():
+                    basis[c if k < 0 else k, j] = -1 if k < 0 else c
+            inverse = np.linalg.inv(basis)
+            x, prices = np.maximum(inverse @ demand, 0.0), cost @ inverse
+        return True
+
+    while True:
+        if prices.min() < -1e-9:
+            k = int(prices.argmin())
+            if not enter({k: -1}, float(prices[k]), False):
+                break
+            continue
+        total = float(cost @ x)
+        if pivots > most or total - bound <= gap * total or np.ceil(bound - 1e-6) >= np.ceil(total - 1e-6) or bound >= enough > 0:
+            break
+        if len(pool):
+            worth = (prices[held] * copies).sum(axis=1)
+            k = int(worth.argmax())
+            if worth[k] > 1 + 1e-6 and enter(pool[k], 1 - float(worth[k]), True):
+                continue
+        drawn = pull * center + (1 - pull) * np.maximum(prices, 0.0)
+        best, taken = fullest(sizes, drawn, capacity)
+        if (reached := float(drawn @ demand) / max(best[capacity], 1e-12)) > bound:
+            bound, center = reached, drawn / best[capacity]
+        through = best[capacity - sizes] + drawn  # the best configuration that holds a size
+        entered = 0
+        for first in np.argsort(-through, kind="stable")[:batch]:
+            column, w = {int(first): 1}, capacity - int(sizes[first])
+            while w > 0:
+                if taken[w] >= 0:
+                    column[int(taken[w])] = column.get(int(taken[w]), 0) + 1
+                    w -= int(sizes[taken[w]])
+                else:
+                    w -= 1
+            value = 1 - sum(prices[k] * c for k, c in column.items())
+            entered += value < -1e-9 and enter(column, value, True)
+        if entered:
+            pull = 0.8
+        elif pull == 0:
+            break
+        else:
+            pull = pull - 0.4 if pull > 0.4 else 0.0  # nothing at these prices: nearer the program's own
+    found: dict[Filling, float] = {}
+    for column, n in zip(columns, x):
+        if -1 not in column and n > 1e-9:
+            config = tuple(sorted(((int(sizes[k]), c) for k, c in column.items()), reverse=True))
+            found[config] = found.get(config, 0.0) + float(n)
+    return found, bound
+
+
+def rounded(program: dict[Filling, float], hist: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
+    """The program in whole containers that hold the histogram exactly.
+
+    It is rounded down, and the rest is packed best-fit, at once or after one
+    more container of each configuration with a great part left over.
+    """
+    rest, whole, parts = dict(hist), [], []
+    for config, x in sorted(program.items()):
+        n = min(int(x + 1e-6), *(rest[size] // c for size, c in config))
+        if n > 0:
+            whole.append((config, n))
+            for size, c in config:
+                rest[size] -= c * n
+        parts.append((x - n, config))
+    made = best_fit(rest, capacity)
+    more = []
+    for _, config in sorted(parts, reverse=True):
+        if all(rest[size] >= c for size, c in config):
+            more.append((config, 1))
+            for size, c in config:
+                rest[size] -= c
+    other = more + best_fit(rest, capacity)
+    return whole + min(made, other, key=lambda fillings: sum(n for _, n in fillings))
+
+
 def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Filling, int]]:
     """Fillings and how many containers have each; together they hold the histogram exactly.
 
-    The fractional solution is rounded down, the rest is packed best-fit.
+    The dealt solution is rounded down, the rest packed best-fit.  If that
+    takes more than a thousandth, and more than one container, over the tokens'
+    own bound, the program is solved by generated columns, which need not fill
+    their containers, and the fewer containers count.
     """
-    whole = [(c, int(x + 1e-6)) for c, x in sorted(solve(hist, capacity).items()) if int(x + 1e-6) > 0]
-    rest = dict(hist)
-    for config, n in whole:
-        for size, c in config:
-            rest[size] -= c * n
-    return whole + best_fit(rest, capacity)
+    made = rounded(solve(hist, capacity), hist, capacity)
+    count, least = sum(n for _, n in made), -(-sum(s * n for s, n in hist.items()) // capacity)
+    slack = max(1, least // 1000)
+    if count - least <= slack:
+        return made
+    program, _ = relax(hist, capacity, [config for config, _ in made], count - slack)
+    return min(made, rounded(program, hist, capacity), key=lambda fillings: sum(n for _, n in fillings))
 
 
 class Places:

@@ -51,6 +51,31 @@ def test_the_program_is_close_to_the_bound_on_many_small_texts():
     assert sum(packing.solve(hist, 2048).values()) > 0.5 * least
 
 
+@pytest.mark.parametrize("hist, optimum", [({900: 1200, 600: 1200, 500: 1200}, 1200), ({1450: 1000, 560: 2000, 700: 500}, None), ({1337: 2614, 475: 1222, 1240: 2495}, None), ({230: 2907, 1201: 1311, 842: 1210, 655: 801, 1388: 3004}, None)])
+def test_coarse_histograms_reach_the_optimum(hist, optimum):
+    made = packing.plan(hist)
+    assert held(made) == Counter(hist) and all(sum(s * c for s, c in f) <= 2048 for f, _ in made)
+    program, bound = packing.relax(hist, 2048)
+    assert abs(sum(program.values()) - bound) <= 1e-4 * bound + 1
+    assert bound - 1e-6 <= sum(n for _, n in made) <= -(-bound // 1) + 1
+    assert optimum is None or sum(n for _, n in made) == optimum
+
+
+def test_no_packing_goes_below_the_bound():
+    import itertools
+
+    rng = random.Random(2)
+    for _ in range(20):
+        hist = {s: rng.randint(1, 3) for s in rng.sample(range(2, 12), 3)}
+        sizes, most = sorted(hist), tuple(hist[s] for s in sorted(hist))
+        fits = [f for f in itertools.product(*[range(12 // s + 1) for s in sizes]) if any(f) and sum(a * b for a, b in zip(f, sizes)) <= 12]
+        least = {(0, 0, 0): 0}
+        for left in itertools.product(*[range(n + 1) for n in most]):
+            if any(left):
+                least[left] = 1 + min(least[tuple(max(a - b, 0) for a, b in zip(left, f))] for f in fits if any(a and b for a, b in zip(left, f)))
+        assert packing.relax(hist, 12)[1] <= least[most] + 1e-6 <= sum(n for _, n in packing.plan(hist, 12)) + 1e-3
+
+
 def check(spark, rows, capacity):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("size", F.lit(1)).withColumn("rank", F.lit("x"))
     got = packing.pack_documents(docs, capacity).collect()
