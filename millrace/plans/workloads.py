@@ -210,13 +210,13 @@ def _stream(spark, root, name):
     return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
 
 
-def _run(spark, df):
+def _run(spark, df, run=matching.run_to_table):
     """A stream run to its end into the session's shared folder."""
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return matching.run_to_table(df, f"{base}/out", f"{base}/state")
+        return run(df, f"{base}/out", f"{base}/state")
     finally:
         if old is not None:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
@@ -227,7 +227,8 @@ def stream_matches(spark, root):
 
 
 def stream_window_counts(spark, root):
-    return _run(spark, matching.window_counts(_stream(spark, root, "events"), "ts", "event_type", "value", "1 day"))
+    counts = matching.window_counts(_stream(spark, root, "events"), "ts", "event_type", "value", "1 day", late=None)
+    return _run(spark, counts, matching.run_whole)
 
 
 QUERIES = {f.__name__: f for f in (

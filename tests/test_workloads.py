@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import alarms, dispatch, graph, media, ngrams, pageviews, tweets
+from millrace.plans import workloads
 from millrace.session import spread
 from millrace.sources import tables
 from millrace.streaming import matching
@@ -212,6 +213,26 @@ def test_window_counts_drop_late_events(spark, tmp_path):
     assert (0, 2, 3.0) in got and (9, 1, 1.0) in got
 
 
+def test_registered_window_counts_are_whole(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(hours=i), "ab"[i % 2], float(i)) for i in range(24 * 7)] + [(None, "a", 1.0), (start, None, None)]
+    schema = "ts timestamp_ntz, event_type string, value double"
+    random.Random(3).shuffle(rows)
+    for k in range(0, len(rows), 2):  # more parts than one trigger takes, in no order of time
+        tables.write_parquet(spark.createDataFrame(rows[k:k + 2], schema).coalesce(1), str(tmp_path / "parts" / str(k)), single=True)
+    (tmp_path / "events.parquet").mkdir()
+    for n, f in enumerate(sorted((tmp_path / "parts").glob("*/*.parquet"))):
+        f.rename(tmp_path / "events.parquet" / f"part-{n}.parquet")
+    assert n + 1 > 64
+    df = spark.createDataFrame(rows, schema)
+    want = df.where("ts IS NOT NULL").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day")["start"].alias("w"), "event_type").agg(F.count(F.lit(1)), F.sum("value"))
+    got = workloads.stream_window_counts(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and sum(r.n for r in got.collect()) == 24 * 7 + 1
+    (tmp_path / "none" / "events.parquet").mkdir(parents=True)
+    df.limit(0).write.mode("overwrite").parquet(str(tmp_path / "none" / "events.parquet"))
+    assert workloads.stream_window_counts(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_sources_and_sinks(spark, tmp_path):
     p = lambda n: str(tmp_path / n)
     (tmp_path / "pageviews-20180307-110000").write_text("en A 1 0\n")
