@@ -137,18 +137,28 @@ class _Corpus:
         at: dict[str, int] = {}
         ids, own, length = array("i"), array("i"), array("i")
         for t in texts:
-            doc = features(tokens(plain(t))[:LONGEST])
+            doc = features(tokens(plain(t)))
             length.append(len(doc))
             for f in doc:
                 own.append(len(f))
                 ids.extend([at.setdefault(x, len(at)) for x in f])
         self.n, self.length = len(texts), np.array(length, np.int64)
-        self.width = max(int(self.length.max(initial=0)), 1)
+        # texts of up to LONGEST tokens are padded alike, longer ones with those of up to 1, 2, 4, ... times as many
+        double = np.ceil(np.log2(np.maximum(self.length, LONGEST) / LONGEST)).astype(np.int64)
+        self.parts: list[tuple[np.ndarray, int, int]] = []  # texts, first slot, width
+        first, self.slots = np.zeros(self.n, np.int64), 0
+        for k in np.unique(double):
+            part = np.flatnonzero(double == k)
+            width = max(int(self.length[part].max()), 1)
+            first[part] = self.slots + np.arange(len(part)) * width
+            self.parts.append((part, self.slots, width))
+            self.slots += len(part) * width
         starts = np.cumsum(self.length) - self.length
-        slot = np.repeat(np.arange(self.n) * self.width - starts, self.length) + np.arange(int(self.length.sum()))
+        slot = np.repeat(first - starts, self.length) + np.arange(int(self.length.sum()))
+        texts = np.repeat(np.repeat(np.arange(self.n), self.length), np.array(own, np.int64))
         rows, ids = np.repeat(slot, np.array(own, np.int64)), np.array(ids, np.int64)
         # a feature counts if several texts have it
-        seen = np.bincount(np.unique(ids * self.n + rows // self.width) // max(self.n, 1), minlength=len(at))
+        seen = np.bincount(np.unique(ids * self.n + texts) // max(self.n, 1), minlength=len(at))
         keep = (seen >= least) | np.array([x in PRIOR for x in at], bool)
         self.names = [x for x, k in zip(at, keep) if k]
         renumbered = np.cumsum(keep) - 1
@@ -156,9 +166,17 @@ class _Corpus:
         self.ids, self.rows = renumbered[ids[some]], rows[some]
         self.prior = np.array([PRIOR.get(k, 0.0) for k in self.names] + list(TRANSITION))
 
+    def chains(self, w: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """log Z of each text, marginals by part, expected transitions of each text."""
+        e = np.bincount(self.rows, w[self.ids], self.slots)
+        logz, marginals, pairs = np.zeros(self.n), [], np.zeros((3, self.n)).T
+        for part, a, width in self.parts:
+            logz[part], m, pairs[part] = forward_backward(e[a:a + len(part) * width].reshape(len(part), width), self.length[part], w[-3:])
+            marginals.append(m)
+        return logz, marginals, pairs
+
     def loss(self, w: np.ndarray, q: np.ndarray, use: np.ndarray, strength: float) -> tuple[float, np.ndarray]:
-        e = np.bincount(self.rows, w[self.ids], self.n * self.width).reshape(self.n, self.width)
-        logz, m, pairs = forward_backward(e, self.length, w[-3:])
+        logz, marginals, pairs = self.chains(w)
         logz = np.maximum(logz, 1e-12)
         yes = np.log(-np.expm1(-logz))
         some = use & (self.length > 0)
@@ -166,14 +184,13 @@ class _Corpus:
         # of -q log(1 - 1/Z) + (1 - q) log Z
         g = np.where(some, (1 - q) - q / np.expm1(np.minimum(logz, 500)), 0)
         grad = np.zeros_like(w)
-        grad[:-3] = np.bincount(self.ids, (m * g[:, None]).ravel()[self.rows], len(w) - 3)
+        grad[:-3] = np.bincount(self.ids, np.concatenate([(m * g[part, None]).ravel() for (part, _, _), m in zip(self.parts, marginals)])[self.rows], len(w) - 3)
         grad[-3:] = (pairs * g[:, None]).sum(0)
         d = w - self.prior
         return value + strength / 2 * float(d @ d), grad + strength * d
 
     def scores(self, w: np.ndarray) -> np.ndarray:
-        e = np.bincount(self.rows, w[self.ids], self.n * self.width).reshape(self.n, self.width)
-        return -np.expm1(-forward_backward(e, self.length, w[-3:])[0])
+        return -np.expm1(-self.chains(w)[0])
 
     def fit(self, q: np.ndarray, use: np.ndarray, strength: float, steps: int, start: np.ndarray | None = None) -> np.ndarray:
         """Weights by limited-memory BFGS with backtracking."""

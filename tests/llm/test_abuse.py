@@ -61,6 +61,25 @@ def test_gradient_is_that_of_the_loss():
         assert np.isclose((c.loss(w + d, q, use, 0.3)[0] - c.loss(w - d, q, use, 0.3)[0]) / 2e-6, g[k], atol=1e-4)
 
 
+def test_labelled_texts_are_fitted_whole():
+    clean = " ".join(f"calm{k % 50}" for k in range(1000))
+    texts = [clean + " glorp snarf", "a fine day", clean, "glorp snarf", "you idiot", clean + " " + clean + " idiot"]
+    c = abuse._Corpus(texts, least=1)
+    assert list(c.length) == [len(abuse.tokens(abuse.plain(t))) for t in texts] and "w=snarf" in c.names
+    assert c.slots < 3 * c.length.sum() + len(texts) * abuse.LONGEST
+    rng = np.random.default_rng(0)
+    w = c.prior + rng.normal(size=len(c.prior)) * 0.1
+    f = abuse.Field(dict(zip(c.names, w)), w[-3:])
+    alone = [abuse.forward_backward(f.emissions(t)[None, :], np.array([len(t)]), f.trans)[0][0] for t in (abuse.tokens(abuse.plain(t)) for t in texts)]
+    assert np.allclose(c.scores(w), -np.expm1(-np.array(alone)))
+    q, use = np.array([0.9, 0.05, 0.1, 0.8, 0.7, 0.6]), np.ones(6, bool)
+    g = c.loss(w, q, use, 0.3)[1]
+    for k in (c.names.index("w=snarf"), c.names.index("w=idiot"), c.names.index("w=fine"), len(w) - 1):
+        d = np.zeros(len(w))
+        d[k] = 1e-6
+        assert np.isclose((c.loss(w + d, q, use, 0.3)[0] - c.loss(w - d, q, use, 0.3)[0]) / 2e-6, g[k], atol=1e-4, rtol=1e-4)
+
+
 def corpus(rng, n):
     bad = ["you are a {} {}", "shut up {} {}", "what a {} {} you are", "@bob you {} {}"]
     good = ["the {} ferry was late", "what a {} day at the market", "you are not a {} idiot, the queue is long", "my {} driver was kind", "thank you for the {} map"]
