@@ -28,7 +28,7 @@ from millrace.llm.spelling import plain, tokens
 
 #: Most labelled tweets used to fit; the ones of smallest hash are taken.
 MOST_LABELLED = 20_000
-LONGEST = 400  # tokens scored at once; longer texts are scored in overlapping windows
+LONGEST = 400  # tokens of the texts that are padded alike when fitting
 QUOTES = set("\"“”«»„")
 
 
@@ -286,8 +286,7 @@ def _spans(score: float, marginal: np.ndarray, toks, shown: str) -> list[tuple[i
 def score_text(f: Field, text: str | None) -> tuple[float, list[tuple[int, int, str]], float]:
     """(P(abusive), spans of plain text with start, end and words, greatest marginal) of one text.
 
-    A text of more than ``LONGEST`` tokens is scored in windows that overlap by
-    a tenth, and is abusive unless every window is clean.
+    The whole text is one chain, whatever its length.
     """
     if not text:
         return 0.0, [], 0.0
@@ -295,17 +294,9 @@ def score_text(f: Field, text: str | None) -> tuple[float, list[tuple[int, int,
     toks = tokens(shown)
     if not toks:
         return 0.0, [], 0.0
-    e = f.emissions(toks) if len(toks) <= LONGEST else np.concatenate([f.emissions(toks[i:i + LONGEST]) for i in range(0, len(toks), LONGEST)])
-    clean, best = 1.0, np.zeros(len(toks))
-    for i in range(0, len(toks), LONGEST * 9 // 10):
-        part = e[i:i + LONGEST]
-        logz, m, _ = forward_backward(part[None, :], np.array([len(part)]), f.trans)
-        clean = min(clean, math.exp(-float(logz[0])))
-        best[i:i + len(part)] = np.maximum(best[i:i + len(part)], m[0])
-        if i + LONGEST >= len(toks):
-            break
-    spans = _spans(1 - clean, best, toks, shown)
-    return 1 - clean, spans, float(best.max())
+    logz, m, _ = forward_backward(f.emissions(toks)[None, :], np.array([len(toks)]), f.trans)
+    score = -math.expm1(-float(logz[0]))
+    return score, _spans(score, m[0], toks, shown), float(m[0].max())
 
 
 def score_batch(f: Field, texts: Sequence[str | None]) -> list[tuple[float, list[tuple[int, int, str]], float]]:

@@ -80,6 +80,20 @@ def test_labelled_texts_are_fitted_whole():
         assert np.isclose((c.loss(w + d, q, use, 0.3)[0] - c.loss(w - d, q, use, 0.3)[0]) / 2e-6, g[k], atol=1e-4, rtol=1e-4)
 
 
+def test_long_texts_are_scored_as_one_chain():
+    f = abuse.Field({**abuse.PRIOR, "b": -9.0, "wn=glorp snarf": 12.0, "ka=INSULT YOU": 4.0})
+    filler = lambda n: " ".join(["calm"] * n)
+    for n in (10, 300, 399, 401, 799, 2000):  # at 399 and 799 a border of 400 tokens would part the two words
+        text = f"{filler(n)} glorp snarf {filler(500)} idiot {filler(450)} you"
+        toks = abuse.tokens(abuse.plain(text))
+        e = f.emissions(toks)
+        logz, m, _ = abuse.forward_backward(e[None, :], np.array([len(toks)]), f.trans)
+        score, spans, peak = abuse.score_text(f, text)
+        assert np.isclose(score, 1 - np.exp(-logz[0])) and np.isclose(peak, m.max())
+        assert any("glorp" in words for _, _, words in spans)
+        assert abuse.score_batch(f, [text])[0][0] == score
+
+
 def corpus(rng, n):
     bad = ["you are a {} {}", "shut up {} {}", "what a {} {} you are", "@bob you {} {}"]
     good = ["the {} ferry was late", "what a {} day at the market", "you are not a {} idiot, the queue is long", "my {} driver was kind", "thank you for the {} map"]
