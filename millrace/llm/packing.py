@@ -66,7 +66,8 @@ def solve(hist: dict[int, int], capacity: int, rounds: int = 500, eta: float = 0
     packed), a little dearer (``lean``) for great sizes, which fit in fewer
     places; takes the configuration worth most; and gives it as many containers
     as the step allows.  The step starts at a two-hundredth of all containers
-    and halves when the sizes still in sufficient supply no longer fill one.
+    and halves when the sizes still in sufficient supply no longer fill one.  Of
+    more than ``columns`` sizes some are tried first, and all before that.
     No size is ever packed beyond its demand.
     """
     sizes = np.array(sorted(k for k, n in hist.items() if k > 0 and n > 0), np.int64)
@@ -81,11 +82,16 @@ def solve(hist: dict[int, int], capacity: int, rounds: int = 500, eta: float = 0
         fill = 0
         if len(some):
             value = sizes * (1 + lean * sizes / capacity) * np.exp(-eta * (1 - left / demand))
-            if len(some) > columns:  # the dearest by density, and the smallest to fill up with
-                dear = some[np.argsort(-(value / sizes)[some], kind="stable")[:columns * 3 // 4]]
-                some = np.union1d(dear, some[:columns // 4])
+            every = some
+            if len(every) > columns:  # first the dearest by density, and the smallest to fill up with
+                dear = every[np.argsort(-(value / sizes)[every], kind="stable")[:columns * 3 // 4]]
+                some = np.union1d(dear, every[:columns // 4])
             taken = knapsack(sizes[some], value[some], supply[some], capacity)
             fill = sum(int(sizes[some[k]]) * c for k, c in taken.items())
+            if fill < 0.9995 * capacity and len(some) < len(every):  # none is rejected before all sizes were priced
+                some = every
+                taken = knapsack(sizes[some], value[some], supply[some], capacity)
+                fill = sum(int(sizes[some[k]]) * c for k, c in taken.items())
         if fill < 0.9995 * capacity:
             if step == 1 or not fill:
                 break  # what is left no longer fills containers: best-fit does the rest

@@ -61,6 +61,16 @@ def test_coarse_histograms_reach_the_optimum(hist, optimum):
     assert optimum is None or sum(n for _, n in made) == optimum
 
 
+def test_every_size_is_priced_before_a_configuration_is_rejected():
+    small, great = range(464, 512), range(1123, 1267)
+    between = {1000 + k: 20 for k in range(0, 48, 2)}  # two of these fill a container, small and great ones do not
+    hist = {**{s: 20 for s in [*small, *great]}, **between}
+    program = packing.solve(hist, 2048)
+    assert sum(n for config, n in program.items() if any(size in between for size, _ in config)) > 50
+    made = packing.plan(hist)
+    assert held(made) == Counter(hist) and all(sum(s * c for s, c in f) <= 2048 for f, _ in made)
+
+
 def test_no_packing_goes_below_the_bound():
     import itertools
 
