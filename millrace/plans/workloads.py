@@ -203,16 +203,23 @@ def qr_codes(spark, root):
     return spread(table(spark, root, "customer").select("c_custkey", "c_name")).select("c_custkey", qr.qr_encode("c_name").alias("code"))
 
 
+PARTS = 64  # files a trigger
+
+
 def _stream(spark, root, name):
     """A Parquet table as a file stream: a folder of parts, or one file in ``root``."""
     path = f"{root}/{name}.parquet"
-    reader = spark.readStream.schema(table(spark, root, name).schema).option("maxFilesPerTrigger", 64)
+    reader = spark.readStream.schema(table(spark, root, name).schema).option("maxFilesPerTrigger", PARTS)
     return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
 
 
-def _run(spark, df, run=matching.run_to_table):
+def _base(spark):
+    return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _run(spark, df, run=matching.run_to_table, base=None):
     """A stream run to its end into the session's shared folder."""
-    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or _base(spark)
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -223,6 +230,19 @@ def _run(spark, df, run=matching.run_to_table):
 
 
 def stream_matches(spark, root):
+    """Messages in order of arrival: a table of more files than one trigger takes is fed in ranges of it, a run each."""
+    messages = table(spark, root, "driver_messages")
+    n = -(-len(messages.inputFiles()) // PARTS)
+    if n > 1:
+        base, place = _base(spark), F.col("arrival_id")
+        cuts = [int(c) for c in messages.approxQuantile("arrival_id", [k / n for k in range(1, n)], 0.001)]
+        messages.limit(0).write.parquet(f"{base}/in")
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            some = messages if low is None else messages.where(place >= low)
+            some = some if high is None else some.where(place < high)
+            some.coalesce(PARTS - 1).write.mode("append").parquet(f"{base}/in")
+            out = _run(spark, matching.match_stream(spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", PARTS).parquet(f"{base}/in")), base=base)
+        return out
     return _run(spark, matching.match_stream(_stream(spark, root, "driver_messages")))
 
 

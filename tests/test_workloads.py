@@ -2,9 +2,12 @@
 
 import json
 import math
+import os
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +236,24 @@ def test_registered_window_counts_are_whole(spark, tmp_path):
     assert workloads.stream_window_counts(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_matches_of_many_parts_are_those_of_the_log(spark, tmp_path):
+    rng = random.Random(9)
+    rows = []
+    for n in range(280):
+        d = rng.randrange(30)
+        rows.append(rng.choice([enter(n, d, rng.choice([3.0, 4.5]), rng.randrange(150)), ride(n, n), done(n, d)]))
+    df = spark.createDataFrame(rows, MSG)
+    (tmp_path / "driver_messages.parquet").mkdir()
+    schema = df.limit(0).toArrow().schema
+    for k in range(70):  # the latest messages are in the oldest files
+        part = rows[len(rows) - 4 * k - 4:len(rows) - 4 * k]
+        path = tmp_path / "driver_messages.parquet" / f"part-{k:02}.parquet"
+        pq.write_table(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in part], schema), path)
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    want = sorted(tuple(r) for r in dispatch.replay(df).collect())
+    assert want and sorted(tuple(r) for r in workloads.stream_matches(spark, str(tmp_path)).collect()) == want
+
+
 def test_sources_and_sinks(spark, tmp_path):
     p = lambda n: str(tmp_path / n)
     (tmp_path / "pageviews-20180307-110000").write_text("en A 1 0\n")
