@@ -2,9 +2,9 @@
 
 Each partition keeps its local N best of every group it sees.  Where it saw at
 least N rows of a group, its N-th best is a lower bound of the group's true N-th
-best.  The greatest bound of a group, joined to what the partitions kept, leaves
-little more than N rows a group to rank.  A group with a third of all rows sends
-N rows a partition.
+best.  The greatest bound of a group meets what the partitions kept of it in one
+exchange by group and leaves little more than N rows a group to rank.  A group
+with a third of all rows sends N rows a partition.
 """
 
 from __future__ import annotations
@@ -31,40 +31,55 @@ def latest_tweets(tweets: DataFrame) -> DataFrame:
     return tweets.where("tweetid IS NOT NULL").groupBy("tweetid").agg(last).select("tweetid", "r.uuid", "r.engagement")
 
 
-def _best(grp: np.ndarray, score: np.ndarray, tie: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n best of each group in order, with each row's place in its group and the group's first row."""
+def _best(grp: np.ndarray, score: np.ndarray, tie: np.ndarray, n: int) -> np.ndarray:
+    """Rows of the n best of each group, in order of group, falling score and tie."""
     order = np.lexsort((tie, ~score, grp))
     g = grp[order]
     new = np.concatenate([[True], g[1:] != g[:-1]])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    place = np.arange(len(g)) - first
-    keep = place < n
-    return order[keep], place[keep], keep
+    return order[np.arange(len(g)) - first < n]
 
 
-def _local_best(batches: Iterator[pa.RecordBatch], n: int, most: int) -> Iterator[pa.RecordBatch]:
-    held = [np.empty(0, np.int64)] * 3
+def _local_best(batches: Iterator[pa.RecordBatch], n: int, most: int, least: int = 65_536) -> Iterator[pa.RecordBatch]:
+    """The n best of each group a partition saw, with its n-th best as the group's bound.
 
-    def out(held):
-        grp, score, tie = held
+    Rows pile up unsorted until there are twice as many as the last sorting
+    left, so every row is sorted a bounded number of times on average, however
+    many groups there are.
+    """
+    held: list[list[np.ndarray]] = []
+    waiting, limit = 0, least
+
+    def compact() -> list[np.ndarray]:
+        cols = [np.concatenate(c) for c in zip(*held)]
+        rows = _best(*cols, n)
+        return [c[rows] for c in cols]
+
+    def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        grp, score, tie = cols
         new = np.concatenate([[True], grp[1:] != grp[:-1]])
         last = np.flatnonzero(np.concatenate([new[1:], [True]]))
         run = np.cumsum(new) - 1
         full = (np.diff(np.concatenate([[-1], last])) >= n)[run]
         at = last[run]
-        return pa.RecordBatch.from_arrays([pa.array(grp), pa.array(score), pa.array(tie), pa.array(score[at], mask=~full), pa.array(tie[at], mask=~full)], names=["grp", "score", "tie", "bound_score", "bound_tie"])
+        whole = pa.RecordBatch.from_arrays([pa.array(grp), pa.array(score), pa.array(tie), pa.array(score[at], mask=~full), pa.array(tie[at], mask=~full)], names=["grp", "score", "tie", "bound_score", "bound_tie"])
+        yield from (whole.slice(k, least) for k in range(0, whole.num_rows, least))
 
     for b in batches:
-        cols = [np.concatenate([h, b.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
-        if not len(cols[0]):
+        if not b.num_rows:
             continue
-        rows, _, _ = _best(*cols, n)
-        held = [c[rows] for c in cols]
-        if len(held[0]) > most:  # any part of the rows gives a valid bound, so memory stays bounded
-            yield out(held)
-            held = [np.empty(0, np.int64)] * 3
-    if len(held[0]):
-        yield out(held)
+        held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+        waiting += b.num_rows
+        if waiting >= limit:
+            cols = compact()
+            if len(cols[0]) > most:  # any part of the rows gives a valid bound, so memory stays bounded
+                yield from out(cols)
+                held, waiting, limit = [], 0, least
+            else:
+                held, waiting = [cols], len(cols[0])
+                limit = max(2 * waiting, least)
+    if waiting:
+        yield from out(compact())
 
 
 def top_n(rows: DataFrame, group: str, score: str, tie: str, n: int, most: int = 2_000_000) -> DataFrame:
@@ -81,11 +96,13 @@ def top_n(rows: DataFrame, group: str, score: str, tie: str, n: int, most: int =
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     flat = rows.where(F.col(group).isNotNull() & F.col(tie).isNotNull()).select(F.col(group).cast("bigint").alias("grp"), F.coalesce(F.col(score).cast("bigint"), F.lit(-(2**63))).alias("score"), F.col(tie).cast("bigint").alias("tie"))
-    kept = flat.mapInArrow(lambda batches: _local_best(batches, n, most), KEPT).repartition(parts, "grp")
+    kept = flat.mapInArrow(lambda batches: _local_best(batches, n, most), KEPT)
+    # one exchange and one sort serve the bounds and the ranks
+    ordered = kept.repartition(parts, "grp").sortWithinPartitions("grp", F.desc("score"), "tie")
     # the smaller tie is the better one: the bitwise complement turns the order without overflow
-    bound = F.max(F.when(F.col("bound_score").isNotNull(), F.struct("bound_score", F.bitwise_not("bound_tie").alias("inv")))).alias("bound")
-    bounds = kept.groupBy("grp").agg(bound)
-    survivors = kept.select("grp", "score", "tie").join(bounds, "grp", "left").where("bound IS NULL OR score > bound.bound_score OR (score = bound.bound_score AND ~tie >= bound.inv)")
+    bound = F.max(F.when(F.col("bound_score").isNotNull(), F.struct("bound_score", F.bitwise_not("bound_tie").alias("inv"))))
+    bounded = ordered.withColumn("bound", bound.over(Window.partitionBy("grp")))
+    survivors = bounded.where("bound IS NULL OR score > bound.bound_score OR (score = bound.bound_score AND ~tie >= bound.inv)")
     w = Window.partitionBy("grp").orderBy(F.desc("score"), "tie")
     return survivors.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("grp", "score", "tie", "place")
 
