@@ -37,31 +37,37 @@ def valid_actions(actions: DataFrame) -> DataFrame:
 
 
 def latest_changes(valid: DataFrame) -> DataFrame:
-    """Of each tweet the last write or delete and the last set of each field.
-
-    First one delivery of each (``uuid``, ``seq``) is kept, the one delivered
-    first.  Then changes are ranked by ``seq`` within (tweet, slot), where a
-    slot is a field, or 'row' for writes and deletes.  Both rankings keep one
-    row, so Spark limits each group before its shuffle: a tweet or stream with
-    a third of all actions sends one row a task.
+    """Keys of the last write or delete of each tweet and of the last set of each of its fields.
+
+    Result: ``tweetid``, ``slot``, ``uuid``, ``seq``, ``op``.  First one
+    delivery of each (``uuid``, ``seq``) is kept, the one delivered first.  Then
+    changes are ranked by ``seq`` within (tweet, slot), where a slot is a field,
+    or 'row' for writes and deletes.  Both rankings keep one row, so Spark
+    limits each group before its shuffle: a tweet or stream with a third of all
+    actions sends one row a task.  Values stay behind; only keys are shuffled.
     """
     slot = F.when(F.col("op") == "set", F.col("field_name")).otherwise(F.lit("row"))
+    keys = valid.select("delivery_id", "uuid", "seq", "op", "tweetid", slot.alias("slot"))
     # the first ranking is over names, which hardly repeat; delivery_id settles it
     once = Window.partitionBy("uuid", "seq").orderBy("delivery_id", "tweetid")
-    named = valid.withColumn("_rank", F.row_number().over(once)).where("_rank = 1").drop("_rank")
+    named = keys.withColumn("_rank", F.row_number().over(once)).where("_rank = 1").drop("_rank")
     last = Window.partitionBy("tweetid", "slot").orderBy(F.desc("seq"), "uuid", "delivery_id")
-    return named.withColumn("slot", slot).withColumn("_rank", F.row_number().over(last)).where("_rank = 1").drop("_rank")
+    return named.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").select("tweetid", "slot", "uuid", "seq", "op")
+
+
+CRAWLED = ("crawled_at", "favorite_count", "retweet_count", "text", "username", "uuid", "source", "created_at")
 
 
 def current_rows(base: DataFrame) -> DataFrame:
     """One row a tweet of a crawl: the one crawled last.
 
     Ties go to the greater counts, then to the greater texts.  Rows without
-    ``tweetid`` are left out.
+    ``tweetid`` are left out.  Columns of ``CRAWLED`` are kept, others ignored.
+    An aggregate, so that a query that only asks which tweets there are reads
+    no values.
     """
-    order = [F.desc_nulls_last(c) for c in ("crawled_at", "favorite_count", "retweet_count", "text", "username", "uuid", "source", "created_at")]
-    w = Window.partitionBy("tweetid").orderBy(*order)
-    return base.where("tweetid IS NOT NULL").withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    last = F.max(F.struct(*CRAWLED)).alias("r")
+    return base.where("tweetid IS NOT NULL").groupBy("tweetid").agg(last).select("tweetid", *[F.col(f"r.{c}").alias(c) for c in CRAWLED])
 
 
 def fold_actions(actions: DataFrame) -> DataFrame:
@@ -69,9 +75,14 @@ def fold_actions(actions: DataFrame) -> DataFrame:
 
     ``tweetid``, ``row_seq`` and ``row_op`` of the last write or delete, its
     ``doc`` if a write, and of each field ``<field>_set`` and ``<field>_value``,
-    the seq and value of its last set.
+    the seq and value of its last set.  Values are joined to the keys that were
+    left of the ranking, by (``uuid``, ``seq``); where nobody asks for them, Catalyst
+    drops the join, as its right side has a row a name.
     """
-    latest = latest_changes(valid_actions(actions))
+    valid = valid_actions(actions)
+    first = F.min_by(F.struct("value", "doc"), F.struct("delivery_id", "tweetid")).alias("v")
+    values = valid.groupBy("uuid", "seq").agg(first).select("uuid", "seq", "v.value", "v.doc")
+    latest = latest_changes(valid).join(values, ["uuid", "seq"], "left")
     of = lambda slot, c: F.max(F.when(F.col("slot") == slot, F.col(c)))
     return latest.groupBy("tweetid").agg(
         of("row", "seq").alias("row_seq"), of("row", "op").alias("row_op"), F.any_value(F.when(F.col("slot") == "row", F.col("doc")), True).alias("doc"),
@@ -92,18 +103,6 @@ def _origins() -> list:
     return [seq("text").alias("text_seq"), seq("favorite_count").alias("favorite_seq"), seq("retweet_count").alias("retweet_seq")]
 
 
-def change_origins(base: DataFrame, actions: DataFrame) -> DataFrame:
-    """Of each tweet named by a valid action that exists after all of them, where its values come from.
-
-    ``tweetid``, ``text_seq``, ``favorite_seq``, ``retweet_seq``: the same rows
-    and numbers as the named ones of :func:`apply_changes`, without the values,
-    so only ids are read of the base and only keys of the log are shuffled.
-    """
-    ids = base.where("tweetid IS NOT NULL").select(F.col("tweetid").alias("base_id")).distinct()
-    both = fold_actions(actions).join(ids, F.col("tweetid") == F.col("base_id"), "left")
-    return both.where(ALIVE).select("tweetid", *_origins())
-
-
 def apply_changes(base: DataFrame, actions: DataFrame) -> DataFrame:
     """The tweets that exist after all valid actions, with the origin of their values.
 

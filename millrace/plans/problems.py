@@ -31,7 +31,7 @@ def p2_block_pairs(spark, root):
 
 
 def p5_found(spark, root):
-    return changes.change_origins(table(spark, root, "q4"), table(spark, root, "q4_actions"))
+    return changes.apply_changes(table(spark, root, "q4"), table(spark, root, "q4_actions")).where("named").select("tweetid", "text_seq", "favorite_seq", "retweet_seq")
 
 
 def p5_tweets(spark, root):
