@@ -1,24 +1,31 @@
 """Cutting long texts into overlapping pieces at natural boundaries, by byte ranges.
 
-A text is read as ranges of bytes with halos.  A worker takes the stretch of text
-that belongs to its range, from the first certain token boundary at or after the
-range's start to the first one at or after its end, which its neighbour finds in
-the same place, and writes a boundary table: a byte for each token's length and a
-byte for how well the text pauses before it.  Tables are put together in order
-and swept once, with prefix sums of tokens and bytes, holding no more than a
-piece's tokens.  Pieces come out as offsets; their text is sliced from the
-ranges they touch.  No task loads a whole text of more than one range.
+A text is read as ranges of bytes with halos.  A worker detects the boundaries of
+its range: the tokens that begin in it, and a few beyond, each with a byte for how
+well the text pauses before it.  Where pieces end depends on where they begin, so
+a range is summed up by a boundary table: for every token at which a first piece
+may begin in it, how many pieces begin in the range and where the first one of the
+next range does.  The tables of a text are stitched in order, a row a range, with
+prefix sums of tokens and pieces; then every range emits the pieces that begin in
+it, by offset.  Files are read by seeking, in both passes; a cell of a table is cut
+into ranges where it is read.  A task holds a range with its halos, and never more
+of a text than it was handed as one value.
+
+Tokens do not depend on the ranges.  A text may be tokenized in parts wherever its
+pattern splits whatever stands around; an unbroken run without such a place is cut
+at multiples of ``halo`` bytes that have none for a halo on either side.
 """
 
 from __future__ import annotations
 
+import codecs
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import tokenizing
@@ -26,8 +33,9 @@ from millrace.session import spread
 
 LIMIT = 512
 OVERLAP = 64
-RANGE_BYTES = 16_384
-HALO_BYTES = 1_024
+RANGE_BYTES = 131_072
+HALO_BYTES = 2_048
+NEAR_BLANKS = 64  # characters of a run of white space, from either end, in which line ends count
 
 #: How well a text pauses at a place: inside a character, inside a word's token run, inside a word, between words, and so on.
 NO_PLACE, SPLIT_RUN, IN_WORD, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(8)
@@ -39,36 +47,40 @@ STOPS, COMMAS, CLOSERS = ".!?…。！？", ",;:，、；：", "\"'”’)]»"
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class of each code point up to U+FFFF and a few beyond, and marks of punctuation."""
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class and marks of punctuation of each code point."""
     kind = {"L": LETTER, "N": NUMBER}
-    cls = np.array([kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x20000)], np.uint8)
+    cls = np.array([kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
     cls[_WHITE], cls[32] = BLANK, SPACE
-    mark = np.zeros(0x20000, np.uint8)  # 1 stop, 2 comma, 4 closer, 8 newline, 16 a pause without a blank behind it
+    mark = np.zeros(0x110000, np.uint8)  # 1 stop, 2 comma, 4 closer, 8 newline, 16 a pause without a blank behind it
     for chars, bit in ((STOPS, 1), (COMMAS, 2), (CLOSERS, 4), ("\n\r\x85  ", 8), ("。！？，、；：", 16)):
         for c in chars:
             mark[ord(c)] |= bit
     return cls, mark
 
 
+codecs.register_error("a-character-a-byte", lambda e: ("\x1a" * (e.end - e.start), e.end))
+
+
 def _points(data: bytes) -> np.ndarray:
-    """Code points of UTF-8 bytes; those above U+1FFFF count as U+1FFFF."""
-    return np.minimum(np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32), 0x1FFFF)
+    """Code points of UTF-8 bytes; a byte that is no UTF-8 counts as one control character, so that offsets hold."""
+    return np.frombuffer(data.decode("utf-8", "a-character-a-byte").encode("utf-32-le"), np.uint32)
 
 
-def pauses(points: np.ndarray) -> np.ndarray:
-    """How well the text pauses before each code point, and at its end.
+def pauses(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How well the text pauses before each code point and at its end, and where it may be tokenized in parts.
 
     Values from ``IN_WORD`` on are given only where the tokenizer's pattern
-    splits whatever stands around, so that both sides are tokenized alike alone
-    and in the text; ``SPLIT_RUN`` elsewhere.
+    splits whatever stands around; ``SPLIT_RUN`` elsewhere.  Of these places,
+    those behind white space are left out of the second result: white space at
+    a text's very end is matched otherwise than before a word.
     """
     n = len(points)
-    out = np.full(n + 1, SPLIT_RUN, np.uint8)
+    out, safe = np.full(n + 1, SPLIT_RUN, np.uint8), np.ones(n + 1, bool)
     out[0] = out[n] = PARAGRAPH
     if n < 2:
-        return out
-    cls_of, mark_of = _tables()
+        return out, safe
+    cls_of, mark_of = _classes()
     cls, mark = cls_of[points], mark_of[points]
     white = cls <= SPACE
     p, c, wp, wc = cls[:-1], cls[1:], white[:-1], white[1:]
@@ -94,55 +106,16 @@ def pauses(points: np.ndarray) -> np.ndarray:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], white.view(np.int8), [0]])))
     for side in (0, 1):  # the place before a white run, and the one behind it
         a, b = edge[0::2], edge[1::2]
-        lines = newline[b - 1] - np.where(a > 0, newline[np.maximum(a - 1, 0)], 0)
+        first, last = (a, np.minimum(b, a + NEAR_BLANKS)) if side == 0 else (np.maximum(a, b - NEAR_BLANKS), b)
+        lines = newline[last - 1] - np.where(first > 0, newline[np.maximum(first - 1, 0)], 0)
         at = (a if side == 0 else b) - 1
         ok = (at >= 0) & (at < n - 1)
         at, k = at[ok], lines[ok]
         level[at[k == 1]] = LINE
         level[at[k >= 2]] = PARAGRAPH
     out[1:n] = np.where(sure, level, SPLIT_RUN)
-    return out
-
-
-def _lead(data: np.ndarray) -> np.ndarray:
-    return (data & 0xC0) != 0x80
-
-
-def _sync(levels: np.ndarray, starts: np.ndarray, x: int, halo: int) -> int:
-    """The first certain boundary at or after byte ``x``, within a halo; else the last character start in it."""
-    a, b = np.searchsorted(starts, x), np.searchsorted(starts, x + halo - 8)
-    good = np.flatnonzero(levels[a:b] >= IN_WORD)
-    return int(starts[a + good[0]]) if len(good) else int(starts[max(b - 1, a)])
-
-
-def boundary_table(piece: bytes, at: int, low: int, high: int, size: int, encoding, halo: int = HALO_BYTES) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """(first byte, end, token lengths, pauses before tokens) of the stretch of a range.
-
-    ``piece`` are the text's bytes from ``at`` on; the range is ``low`` to
-    ``high`` of a text of ``size`` bytes.  Bytes of characters cut by the
-    halo's ends are set aside.
-    """
-    raw = np.frombuffer(piece, np.uint8)
-    lead = np.flatnonzero(_lead(raw))
-    if not len(lead):
-        return low, low, np.zeros(0, np.uint8), np.zeros(0, np.uint8)
-    first = int(lead[0])
-    last = len(raw) if at + len(raw) >= size else int(lead[-1])
-    body = piece[first:last]
-    levels = pauses(_points(body))
-    starts = np.concatenate([lead[lead < last], [last]]) + at
-    begin = 0 if low == 0 else _sync(levels, starts, low, halo)
-    end = size if high >= size else _sync(levels, starts, high, halo)
-    if end <= begin:
-        return begin, begin, np.zeros(0, np.uint8), np.zeros(0, np.uint8)
-    text = piece[begin - at:end - at].decode("utf-8", "replace")
-    tokens = encoding.encode_ordinary(text)
-    lengths = _lengths(encoding)[np.array(tokens, np.int64)]
-    offset = begin + np.concatenate([[0], np.cumsum(lengths[:-1], dtype=np.int64)])
-    where = np.searchsorted(starts, offset)
-    exact = starts[np.minimum(where, len(starts) - 1)] == offset
-    # the pause inside a byte run that is no character start is none
-    return begin, end, lengths.astype(np.uint8), np.where(exact, levels[np.minimum(where, len(levels) - 1)], NO_PLACE).astype(np.uint8)
+    safe[1:n] = sure & ~wp
+    return out, safe
 
 
 _LENGTHS: dict[int, np.ndarray] = {}
@@ -153,141 +126,280 @@ def _lengths(encoding) -> np.ndarray:
         out = np.zeros(encoding.n_vocab, np.int64)
         for token, rank in encoding._mergeable_ranks.items():
             out[rank] = len(token)
-        if out.max() > 255:
-            raise ValueError("a token of more than 255 bytes")
         _LENGTHS[id(encoding)] = out
     return _LENGTHS[id(encoding)]
 
 
-def choose(marks: np.ndarray, limit: int, overlap: int) -> int:
-    """Where to end a piece that begins at mark 0 and may have up to ``limit`` tokens.
-
-    Of the places in the second half of the room the best pause wins, the later
-    of equals.  A place is preferred whose overlap also begins at a token
-    boundary of the text; then the whole room is tried for one at least between
-    words, and at last the latest place between two characters is taken.
-    """
-    start = max(overlap + 1, 1)
-    k = np.arange(start, limit + 1)
-    level = marks[start:limit + 1]
-    clean = (level >= IN_WORD) & (marks[k - overlap] >= IN_WORD)
-    half = k > limit // 2
-    for ok in (clean & half & (level >= WORD), clean & (level >= WORD), clean & half, (level >= IN_WORD) & (marks[k - overlap] >= SPLIT_RUN) & half, (level >= SPLIT_RUN) & (marks[k - overlap] >= SPLIT_RUN), level >= SPLIT_RUN):
-        if ok.any():
-            best = level[ok].max()
-            return int(k[np.flatnonzero(ok & (level == best))[-1]])
-    return limit
-
-
-class Cutter:
-    """Cuts one text's stream of boundary tables into pieces, holding at most a piece and a table."""
-
-    def __init__(self, limit: int, overlap: int):
-        self.limit, self.overlap = limit, overlap
-        self.lengths, self.marks = np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        self.token, self.byte, self.number = 0, 0, 0
-
-    def _advance(self, n: int) -> None:
-        self.byte += int(self.lengths[:n].sum())
-        self.token += n
-        self.lengths, self.marks = self.lengths[n:], self.marks[n:]
-
-    def add(self, lengths: np.ndarray, marks: np.ndarray) -> Iterator[tuple]:
-        """(number, first token, end token, first byte, end byte, pause at the end) of the pieces that are certain."""
-        self.lengths = np.concatenate([self.lengths, lengths.astype(np.int64)])
-        self.marks = np.concatenate([self.marks, marks])
-        while len(self.lengths) > self.limit:
-            n = choose(self.marks, self.limit, self.overlap)
-            yield self._piece(n, PAUSES[self.marks[n]])
-            back = self.overlap
-            while back < n - 1 and self.marks[n - back] == NO_PLACE:
-                back += 1  # a piece begins with a whole character
-            self._advance(max(n - back, 1))
-
-    def end(self) -> Iterator[tuple]:
-        if self.number:  # a text of at most the limit is no long text
-            yield self._piece(len(self.lengths), "end")
-
-    def _piece(self, n: int, pause: str) -> tuple:
-        out = (self.number, self.token, self.token + n, self.byte, self.byte + int(self.lengths[:n].sum()), pause)
-        self.number += 1
-        return out
-
-
-PIECE = "piece_no int, token_from bigint, token_to bigint, byte_from bigint, byte_to bigint, pause string"
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-_NAMES = ["piece_no", "token_from", "token_to", "byte_from", "byte_to", "pause"]
-
-
-def _batch(keys: list[tuple], pieces: list[tuple], names: list[str], types: list, texts: list[str] | None = None) -> pa.RecordBatch:
-    cols = [pa.array([k[i] for k in keys], t) for i, t in enumerate(types)] + [pa.array([p[i] for p in pieces], t) for i, t in enumerate(_TYPES)]
-    if texts is not None:
-        return pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())], names=[*names, *_NAMES, "text"])
-    return pa.RecordBatch.from_arrays(cols, names=[*names, *_NAMES])
-
-
-def _whole(batches: Iterator[pa.RecordBatch], limit: int, overlap: int, tokenizer: str) -> Iterator[pa.RecordBatch]:
-    """Pieces of texts of one range each."""
-    encoding = tokenizing.encoder(tokenizer)
+class Cutting:
+    """How texts are cut, and what a worker needs of a text to do so."""
+
+    def __init__(self, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES, tokenizer: str = tokenizing.DEFAULT):
+        if not 0 <= overlap < limit // 2:
+            raise ValueError("overlap must be less than half the limit")
+        if halo < 64 or range_bytes < 2 * halo:
+            raise ValueError("a range must be at least two halos of 64 bytes")
+        self.limit, self.overlap, self.range_bytes, self.halo, self.tokenizer = limit, overlap, range_bytes, halo, tokenizer
+        # a stretch without a place to split is shorter than three halos; its ends show within two more
+        self.before = 5 * halo + 8
+        longest = int(_lengths(tokenizing.encoder(tokenizer)).max())
+        self.after = (limit + 1) * longest + 5 * halo + 8  # room for all tokens of a last piece
+
+    def window(self, range_no: int, size: int) -> tuple[int, int]:
+        """The bytes of a text that a range and its halos take."""
+        return max(range_no * self.range_bytes - self.before, 0), min((range_no + 1) * self.range_bytes + self.after, size)
+
+    def ranges(self, size: int) -> int:
+        return -(-size // self.range_bytes)
+
+
+class Range:
+    """The tokens of a range: own ones begin in it, and up to a piece's length of the next ones follow."""
+
+    def __init__(self, data: bytes, at: int, range_no: int, size: int, how: Cutting):
+        """``data`` are the text's bytes from ``at`` on, those of :meth:`Cutting.window`."""
+        encoding = tokenizing.encoder(how.tokenizer)
+        self.data, self.at, self.how = data, at, how
+        low, high = range_no * how.range_bytes, min((range_no + 1) * how.range_bytes, size)
+        skip = 0
+        while at and skip < min(3, len(data)) and data[skip] & 0xC0 == 0x80:
+            skip += 1
+        text = bytes(data[skip:]).decode("utf-8", "a-character-a-byte")
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        widths = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        starts = at + skip + np.concatenate([[0], np.cumsum(widths)])
+        levels, safe = pauses(points)
+        end = int(starts[-1])
+        safe[0], safe[-1] = at == 0, end == size
+        bounds = starts[safe]
+        grid = np.arange(-(-(at + skip) // how.halo), end // how.halo + 1) * how.halo
+        known = ((grid - how.halo >= at + 4) | (at == 0)) & ((grid + how.halo <= end - 4) | (end == size)) & (grid > 0) & (grid < size)
+        grid = grid[known]
+        alone = np.searchsorted(bounds, grid + how.halo, "right") == np.searchsorted(bounds, grid - how.halo, "left")
+        forced = np.searchsorted(starts, grid[alone])  # the next character's start
+        cuts = np.union1d(np.flatnonzero(safe), forced)
+        cut_at = starts[cuts]
+
+        first = int(np.searchsorted(cut_at, low, "right")) - 1
+        place = int(cuts[first])
+        self.begin = int(starts[place])
+        lengths: list[np.ndarray] = []
+        seen = np.int64(self.begin)
+        token_bytes, ahead = _lengths(encoding), how.limit + 1
+        inner = np.unique(forced)
+        beyond, target = 0, high
+        while place < len(points) and beyond < ahead:
+            k = int(np.searchsorted(cut_at, target))
+            upto = int(cuts[k]) if k < len(cuts) else len(points)
+            some = inner[np.searchsorted(inner, place, "right"):np.searchsorted(inner, upto)]
+            for x, y in zip([place, *some.tolist()], [*some.tolist(), upto]):
+                n = token_bytes[np.array(encoding.encode_ordinary(text[x:y]), np.int64)]
+                lengths.append(n)
+                beyond += int((seen + np.cumsum(n) - n >= high).sum())
+                seen += n.sum()
+            place, target = upto, int(starts[upto]) + 4_096
+        n = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+        begins = self.begin + np.cumsum(n) - n
+        mine = (begins >= low) & (np.cumsum(begins >= high) <= ahead)
+        n, begins = n[mine], begins[mine]
+        self.own = int((begins < high).sum())
+        #: Byte offsets of tokens, and of the end of the last one.
+        self.offsets = np.append(begins, begins[-1] + n[-1] if len(n) else low)
+        self.whole = int(self.offsets[-1]) == size  # the text's end is in sight
+        where = np.minimum(np.searchsorted(starts, self.offsets), len(levels) - 1)
+        self.marks = np.where(starts[where] == self.offsets, levels[where], NO_PLACE).astype(np.uint8)
+        self._late, self._early = self._worth()
+
+    def _worth(self) -> tuple[np.ndarray, np.ndarray]:
+        """How good each place is as a piece's end in the second half of the room, and before it.
+
+        Best is a pause at least between words whose overlap begins at such a
+        certain place too, in the second half; then one before it; then in the
+        second half a certain place of any kind, then one whose overlap begins
+        between characters; at last any place between two characters.
+        """
+        level = self.marks
+        begin = np.concatenate([np.zeros(self.how.overlap, np.uint8), level])[:len(level)]
+        certain, letters = level >= IN_WORD, level >= SPLIT_RUN
+        clean = certain & (begin >= IN_WORD)
+        apart = begin >= SPLIT_RUN
+        any_half = np.select([letters & apart, letters], [2, 1], 0)
+        late = np.select([clean & (level >= WORD), clean, certain & apart], [6, 4, 3], any_half)
+        early = np.select([clean & (level >= WORD)], [5], any_half)
+        return (late * 8 + np.where(late > 0, level, 0)).astype(np.uint8), (early * 8 + np.where(early > 0, level, 0)).astype(np.uint8)
+
+    def end_of(self, s: int) -> int:
+        """The token before which the piece that begins at token ``s`` ends: the best place in its room, the later of equals."""
+        if self.whole and len(self.marks) - 1 - s <= self.how.limit:
+            return len(self.marks) - 1
+        half, full = s + self.how.limit // 2 + 1, s + self.how.limit + 1
+        late, early = self._late[half:full][::-1], self._early[s + self.how.overlap + 1:half][::-1]
+        i = int(late.argmax())
+        if len(early) and early[j := int(early.argmax())] > late[i]:
+            return half - 1 - j
+        return full - 1 - i if late[i] else full - 1
+
+    def next_of(self, s: int, end: int) -> int:
+        """Where the piece after the one from ``s`` to ``end`` begins, -1 after the last."""
+        if self.whole and end == len(self.marks) - 1 and end - s <= self.how.limit:
+            return -1
+        back = self.how.overlap
+        while back < end - s - 1 and self.marks[end - back] == NO_PLACE:
+            back += 1  # a piece begins with a whole character
+        return max(end - back, s + 1)
+
+    def short(self) -> bool:
+        """Whether this first range shows that the text has no more tokens than the limit."""
+        return self.whole and len(self.marks) - 1 <= self.how.limit
+
+    def table(self, range_no: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """(own tokens, token of the next range where its first piece begins or -1, pieces) for each token a first piece may begin at.
+
+        A first range has one such token, others have ``limit``.
+        """
+        after: dict[int, tuple[int, int]] = {}
+        wanted = 1 if range_no == 0 else self.how.limit
+        exits, pieces = np.full(wanted, -1, np.int32), np.zeros(wanted, np.int32)
+        if range_no == 0 and self.short():
+            return self.own, exits, pieces
+        for e in range(wanted):
+            path, s = [], e
+            while 0 <= s < self.own and s not in after:
+                path.append(s)
+                s = self.next_of(s, self.end_of(s))
+            out, n = after[s] if s in after else (s - self.own if s >= 0 else -1, 0)
+            for k, x in enumerate(reversed(path)):
+                after[x] = (out, n + k + 1)
+            exits[e], pieces[e] = out, n + len(path)
+        return self.own, exits, pieces
+
+    def pieces(self, range_no: int, entry: int, token_base: int, piece_base: int) -> Iterator[tuple]:
+        """The pieces that begin in the range: number, tokens, bytes, pause at the end, text."""
+        if range_no == 0 and self.short():
+            return
+        s = entry
+        while 0 <= s < self.own:
+            end = self.end_of(s)
+            a, b, after = int(self.offsets[s]), int(self.offsets[end]), self.next_of(s, end)
+            text = bytes(self.data[a - self.at:b - self.at]).decode("utf-8", "replace")
+            yield piece_base, token_base + s, token_base + end, a, b, "end" if after < 0 else PAUSES[self.marks[end]], text
+            piece_base, s = piece_base + 1, after
+
+
+PIECE = "piece_no int, token_from bigint, token_to bigint, byte_from bigint, byte_to bigint, pause string, text string"
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+_NAMES = ["piece_no", "token_from", "token_to", "byte_from", "byte_to", "pause", "text"]
+BATCH_BYTES = 4_000_000
+
+Reader = Callable[[str, int, int], bytes]
+
+
+def read_bytes(path: str, low: int, high: int) -> bytes:
+    """Bytes ``low`` to ``high`` of a file, by seeking; ``path`` is a path or address that pyarrow's file systems know."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        store, name = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    elif "://" in path:
+        store, name = fs.FileSystem.from_uri(path)
+    else:
+        store, name = fs.LocalFileSystem(), path
+    with store.open_input_file(name) as f:
+        return f.read_at(high - low, low)
+
+
+def _windows(b: pa.RecordBatch, how: Cutting, read: Reader | None) -> Iterator[tuple[int, int, Range]]:
+    """(row, range, its tokens) of rows of ranges, whose bytes are a column or are read from a file."""
+    for k in range(b.num_rows):
+        r, size = b.column("range_no")[k].as_py(), b.column("size")[k].as_py()
+        low, high = how.window(r, size)
+        yield k, r, Range(read(b.column("path")[k].as_py(), low, high) if read else b.column("data")[k].as_buffer(), low, r, size, how)
+
+
+def _emit(batches: Iterator[pa.RecordBatch], how: Cutting, key: str, read: Reader | None) -> Iterator[pa.RecordBatch]:
+    """The pieces of ranges whose first token, ``entry`` and bases are known."""
     for b in batches:
-        keys, pieces, texts = [], [], []
-        for doc, data in zip(b.column("doc_id").to_pylist(), b.column("data")):
-            raw = data.as_py()
-            _, _, lengths, marks = boundary_table(raw, 0, 0, len(raw), len(raw), encoding)
-            if len(lengths) <= limit:
-                continue
-            cutter = Cutter(limit, overlap)
-            for p in [*cutter.add(lengths, marks), *cutter.end()]:
-                keys.append((doc,))
-                pieces.append(p)
-                texts.append(raw[p[3]:p[4]].decode("utf-8", "replace"))
-            if len(keys) >= 2_000:
-                yield _batch(keys, pieces, ["doc_id"], [pa.int64()], texts)
-                keys, pieces, texts = [], [], []
-        if keys:
-            yield _batch(keys, pieces, ["doc_id"], [pa.int64()], texts)
-
-
-def _tables_of(batches: Iterator[pa.RecordBatch], size_of: int, halo: int, tokenizer: str) -> Iterator[pa.RecordBatch]:
-    """Boundary tables of ranges."""
-    encoding = tokenizing.encoder(tokenizer)
+        at, rows, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at, pa.int64())), *[pa.array([p[i] for p in rows], t) for i, t in enumerate(_TYPES)]], names=[key, *_NAMES])
+
+        for k, r, tokens in _windows(b, how, read):
+            entry, token_base, piece_base = (b.column(c)[k].as_py() for c in ("entry", "token_base", "piece_base"))
+            for p in tokens.pieces(r, entry, token_base, piece_base):
+                at.append(k)
+                rows.append(p)
+                held += p[4] - p[3]
+                if held >= BATCH_BYTES:
+                    yield out()
+                    at, rows, held = [], [], 0
+        if rows:
+            yield out()
+
+
+def _tables(batches: Iterator[pa.RecordBatch], how: Cutting, read: Reader | None) -> Iterator[pa.RecordBatch]:
+    """The boundary table of each range."""
     for b in batches:
-        lengths, marks = [], []
-        for r, size, data in zip(b.column("range_no").to_pylist(), b.column("size").to_pylist(), b.column("data")):
-            _, _, n, m = boundary_table(data.as_py(), max(r * size_of - halo, 0), r * size_of, min((r + 1) * size_of, size), size, encoding, halo)
-            lengths.append(n.tobytes())
-            marks.append(m.tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("doc_id"), b.column("range_no"), pa.array(lengths, pa.binary()), pa.array(marks, pa.binary())], names=["k1", "k2", "doc_id", "range_no", "lengths", "marks"])
+        for k, r, tokens in _windows(b, how, read):
+            n, exits, pieces = tokens.table(r)
+            one = [b.column(c).slice(k, 1) for c in ("k1", "k2", "range_no")]
+            yield pa.RecordBatch.from_arrays([*one, pa.array([n], pa.int64()), pa.array([exits.tobytes()], pa.binary()), pa.array([pieces.tobytes()], pa.binary())], names=["k1", "k2", "range_no", "tokens", "exits", "pieces"])
 
 
-def _stitch(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> Iterator[pa.RecordBatch]:
-    """Pieces from tables in order of (text, range)."""
-    names, types = ["k1", "k2", "doc_id"], [pa.int64()] * 3
-    text, seen, cutter = None, -1, None
-    keys, pieces = [], []
-
-    def take(some):
-        for p in some:
-            keys.append(text)
-            pieces.append(p)
-
+def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From tables in order of (text, range) the entry and prefix sums of every range in which a piece begins."""
+    text, seen, entry, tokens, number = None, -1, 0, 0, 0
     for b in batches:
-        for k1, k2, doc, r, lengths, marks in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "doc_id", "range_no", "lengths", "marks"))):
-            if (k1, k2, doc) != text:
-                if cutter:
-                    take(cutter.end())
-                text, seen, cutter = (k1, k2, doc), -1, Cutter(limit, overlap)
+        out = []
+        for k1, k2, r, n, exits, pieces in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "range_no", "tokens", "exits", "pieces"))):
+            if (k1, k2) != text:
+                text, seen, entry, tokens, number = (k1, k2), -1, 0, 0, 0
             if r == seen:
                 continue  # of a row repeated exactly
             seen = r
-            take(cutter.add(np.frombuffer(lengths, np.uint8), np.frombuffer(marks, np.uint8)))
-            if len(keys) >= 10_000:
-                yield _batch(keys, pieces, names, types)
-                keys.clear(), pieces.clear()
-    if cutter:
-        take(cutter.end())
-    if keys:
-        yield _batch(keys, pieces, names, types)
+            if entry < 0:
+                continue
+            begun = int(np.frombuffer(pieces, np.int32)[entry])
+            if begun:
+                out.append((k1, k2, r, entry, tokens, number))
+            entry, tokens, number = int(np.frombuffer(exits, np.int32)[entry]), tokens + n, number + begun
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["k1", "k2", "range_no", "entry", "token_base", "piece_base"])
+
+
+def _cut_cells(batches: Iterator[pa.RecordBatch], how: Cutting) -> Iterator[pa.RecordBatch]:
+    """Cells as rows of ranges with their halos, a few at a time."""
+    names = ["k1", "k2", "doc_id", "size", "range_no", "data"]
+    for b in batches:
+        for k in range(b.num_rows):
+            data, size = b.column("data")[k].as_buffer(), b.column("size")[k].as_py()
+            step = max(BATCH_BYTES // how.range_bytes, 1)
+            for r in range(0, how.ranges(size), step):
+                some = range(r, min(r + step, how.ranges(size)))
+                slices = pa.array([bytes(data[slice(*how.window(i, size))]) for i in some], pa.binary())
+                same = pa.array([k] * len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(same) for c in names[:4]], pa.array(some, pa.int32()), slices], names=names)
+
+
+_FIRST = "0 AS range_no", "0 AS entry", "0L AS token_base", "0 AS piece_base"
+_LOCATED = "k1 bigint NOT NULL, k2 bigint NOT NULL, range_no int NOT NULL"
+
+
+def _stitched(wide: DataFrame, how: Cutting, key: str, read: Reader | None, parts: int) -> DataFrame:
+    """The pieces of texts of several ranges: boundary tables, stitched, and emitted by the ranges again.
+
+    ``wide`` is partitioned by (text, range).  Where it holds bytes, both passes
+    read the one exchange.
+    """
+    tables = wide.mapInArrow(lambda b: _tables(b, how, read), f"{_LOCATED}, tokens bigint, exits binary, pieces binary")
+    ordered = tables.repartition(parts, "k1").sortWithinPartitions("k1", "k2", "range_no")
+    entries = ordered.mapInArrow(_stitch, f"{_LOCATED}, entry int, token_base bigint, piece_base int")
+    known = wide.join(entries.hint("shuffle_hash"), ["k1", "k2", "range_no"])
+    if read:
+        known = known.repartition(parts, "k1", "k2", "range_no")  # against coalescing: these rows are few bytes and much work
+    return known.mapInArrow(lambda b: _emit(b, how, key, read), f"{_KEYS[key]}, {PIECE}")
+
+
+_KEYS = {"doc_id": "doc_id bigint", "path": "path string"}
 
 
 def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES, tokenizer: str = tokenizing.DEFAULT) -> DataFrame:
@@ -302,43 +414,37 @@ def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
     gap.  Texts of at most ``limit`` tokens, null and empty ones give no rows;
     each row is a text of its own, rows repeated exactly too.
 
-    Tokens are those of the whole text, save that an unbroken run longer than
-    ``halo`` bytes at a range's end is cut there for tokenizing.  Texts of one
-    range are cut where they are read; only longer ones go through ranges.
+    Tokens are those of the whole text, save that a run without a blank or other
+    place to split for more than two ``halo`` is cut at multiples of it.  Pieces
+    are the same whatever ``range_bytes`` is.  The first range of a text begins
+    with its first piece, so texts of one range are cut where they are read;
+    ranges of the others are spread over the cluster and their tables stitched.
     """
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("overlap must be less than half the limit")
-    if halo < 64 or range_bytes < 2 * halo:
-        raise ValueError("a range must be at least two halos of 64 bytes")
-    spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    how = Cutting(limit, overlap, range_bytes, halo, tokenizer)
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a text has no more tokens than bytes
-    some = documents.select("doc_id", "text", F.octet_length("text").cast("bigint").alias("size")).where(F.col("size") > limit)
-    short = some.where(F.col("size") <= range_bytes).select("doc_id", F.col("text").cast("binary").alias("data"))
-    done = spread(short).mapInArrow(lambda b: _whole(b, limit, overlap, tokenizer), f"doc_id bigint, {PIECE}, text string")
-
-    big = some.where(F.col("size") > range_bytes).select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "size", "doc_id").alias("k2"), "doc_id", "size", F.col("text").cast("binary").alias("data"))
-    width = F.lit(range_bytes)
-    numbers = F.sequence(F.lit(0), (F.ceil(F.col("size") / width) - 1).cast("int"))
-
-    def ranges(before: int, length: int) -> DataFrame:
-        cut = F.transform(numbers, lambda r: F.struct(r.alias("range_no"), F.substring(F.col("data"), F.greatest(r * width - F.lit(before), F.lit(0)) + 1, F.when(r == 0, F.lit(length - before)).otherwise(F.lit(length))).alias("data")))
-        return big.select("k1", "k2", "doc_id", "size", F.inline(cut))
-
-    wide = ranges(halo, range_bytes + 2 * halo).repartition(parts, "k1", "range_no")
-    tables = wide.mapInArrow(lambda b: _tables_of(b, range_bytes, halo, tokenizer), "k1 bigint, k2 bigint, doc_id bigint, range_no int, lengths binary, marks binary")
-    ordered = tables.repartition(parts, "k1").sortWithinPartitions("k1", "k2", "doc_id", "range_no")
-    offsets = ordered.mapInArrow(lambda b: _stitch(b, limit, overlap), f"k1 bigint, k2 bigint, doc_id bigint, {PIECE}")
-
-    copies = big.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    touched = offsets.withColumn("range_no", F.explode(F.sequence((F.col("byte_from") / width).cast("int"), ((F.col("byte_to") - 1) / width).cast("int"))))
-    slices = ranges(0, range_bytes).groupBy("k1", "k2", "range_no").agg(F.any_value("data").alias("data"))
-    base = F.col("range_no").cast("bigint") * width
-    low, high = F.greatest(F.col("byte_from") - base, F.lit(0)), F.least(F.col("byte_to") - base, width)
-    part = F.substring(F.col("data"), (low + 1).cast("int"), (high - low).cast("int"))
-    keys = ["k1", "k2", "doc_id", "piece_no", "token_from", "token_to", "byte_from", "byte_to", "pause"]
-    joined = touched.join(slices, ["k1", "k2", "range_no"]).select(*keys, F.struct("range_no", part.alias("part")).alias("s"))
-    whole = joined.groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias("s"))
-    text = F.decode(F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["part"])), "UTF-8")
-    repeated = whole.join(copies, ["k1", "k2"]).select("doc_id", *[k for k in keys[3:]], text.alias("text"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
-    return done.unionByName(repeated)
+    some = documents.select("doc_id", F.col("text").cast("binary").alias("data"), F.octet_length("text").cast("bigint").alias("size")).where(F.col("size") > limit)
+    one = spread(some.where(F.col("size") <= range_bytes)).selectExpr("doc_id", "size", "data", *_FIRST)
+    done = one.mapInArrow(lambda b: _emit(b, how, "doc_id", None), f"doc_id bigint, {PIECE}")
+
+    keyed = some.where(F.col("size") > range_bytes).select(F.xxhash64("doc_id", "data").alias("k1"), F.xxhash64("data", "size", "doc_id").alias("k2"), "doc_id", "size", "data")
+    cells = keyed.mapInArrow(lambda b: _cut_cells(b, how), "k1 bigint NOT NULL, k2 bigint NOT NULL, doc_id bigint, size bigint, range_no int NOT NULL, data binary")
+    return done.unionByName(_stitched(cells.repartition(parts, "k1", "k2", "range_no"), how, "doc_id", None, parts))
+
+
+def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 8 * RANGE_BYTES, halo: int = HALO_BYTES, tokenizer: str = tokenizing.DEFAULT, glob: str = "*", read: Reader = read_bytes) -> DataFrame:
+    """:func:`split_documents` of UTF-8 files of any size: ``path`` in place of ``doc_id``.
+
+    Only names and sizes of files are listed; every task reads its ranges by
+    seeking, and no file is ever loaded.  Text is never shuffled, only names,
+    tables and offsets are.  Files of at most ``limit`` bytes give no rows.
+    A byte that is no UTF-8 counts as a character and comes out as U+FFFD.
+    """
+    how = Cutting(limit, overlap, range_bytes, halo, tokenizer)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", F.col("length").alias("size")).where(F.col("size") > limit)
+    one = listed.where(F.col("size") <= range_bytes).repartition(parts, "path").selectExpr("path", "size", *_FIRST)
+    done = one.mapInArrow(lambda b: _emit(b, how, "path", read), f"path string, {PIECE}")
+    numbers = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / range_bytes) - 1).cast("int")))
+    wide = listed.where(F.col("size") > range_bytes).select(F.xxhash64("path").alias("k1"), F.xxhash64("path", "size").alias("k2"), "path", "size", numbers.alias("range_no"))
+    return done.unionByName(_stitched(wide.repartition(parts, "k1", "k2", "range_no"), how, "path", read, parts))
