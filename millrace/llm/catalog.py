@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from millrace.llm import abuse, mixing, packing, splitting, topn
 from millrace.sources.tables import table
 
@@ -35,7 +37,9 @@ def p6_containers(spark, root):
 
 
 def p6_fill(spark, root):
-    return packing.fill_report(p6_containers(spark, root))
+    placed, plan = packing.pack(table(spark, root, "documents"))
+    report = packing.fill_report(placed)
+    return report.withColumn("program_bound", F.lit(plan.bound)).withColumn("by_program", F.lit(plan.by_program))
 
 
 def _mixture(spark, root):

@@ -2,18 +2,22 @@
 
 The lengths of all texts form a histogram of at most ``capacity`` sizes.  A
 configuration is a way to fill one container.  The linear program over all
-configurations asks for the fewest containers that hold every text; it is solved
-by multiplicative weights: each size has a price, a knapsack dynamic program
-finds the configuration worth most at these prices, and sizes it holds become
-cheaper.  The average of the configurations found is rounded down to whole
-containers, and what is left over is packed best-fit.  Only the histogram and
-the configurations come to the driver; texts learn their container by rank
-within their size.
+configurations asks for the fewest containers that hold every text, that is, to
+cover each size's demand.  It is solved by multiplicative weights: each size has
+a price, whose weight falls with the share of its demand that is covered; a
+knapsack dynamic program over all sizes finds what a container is worth at most;
+configurations worth that much are taken, each in whole containers as far as the
+stage's share of the demand goes, and prices are made anew.  Prices also bound
+the program from below.  What no such configuration covers is packed best-fit, or,
+where lengths are coarse, by the program solved with generated columns.  Only the
+histogram and the configurations come to the driver; texts learn their container
+by rank within their size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -59,55 +63,81 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, limits: np.ndarray, capacity
     return out
 
 
-def solve(hist: dict[int, int], capacity: int, rounds: int = 500, eta: float = 0.5, lean: float = 0.3, columns: int = 192) -> dict[Filling, float]:
-    """A fractional solution of the configuration program: {configuration: containers}.
+def solve(hist: dict[int, int], capacity: int, stages: int = 3, eta: float = 1.0, lean: float = 0.9, most_exact: int = 200) -> dict[Filling, int]:
+    """The configuration program by multiplicative weights: {configuration: containers}, no size beyond its demand.
 
-    Each round prices every size by its tokens times exp(-eta * share already
-    packed), a little dearer (``lean``) for great sizes, which fit in fewer
-    places; takes the configuration worth most; and gives it as many containers
-    as the step allows.  The step starts at a two-hundredth of all containers
-    and halves when the sizes still in sufficient supply no longer fill one.  Of
-    more than ``columns`` sizes some are tried first, and all before that.
-    No size is ever packed beyond its demand.
+    A token of size s is priced 1 / capacity, a little more by the size's weight
+    exp(-eta * log(sizes) * share covered) and (``lean``) for great sizes, which
+    fit in fewer places; all these extras together weigh less than one token of
+    a container, so that configurations as full as there can be are worth most.
+    Each stage may cover an equal part of what is left of each size.  Within it
+    the dynamic program is solved over all sizes still to be had, and a
+    configuration through each size is followed along its values; it counts if
+    it is worth the most.  If none is found, the best one within the supply is
+    looked for exactly, at most ``most_exact`` times.
     """
     sizes = np.array(sorted(k for k, n in hist.items() if k > 0 and n > 0), np.int64)
     if not len(sizes):
         return {}
-    demand = np.array([hist[int(k)] for k in sizes], float)
-    left, found = demand.copy(), {}
-    step = max(float(sizes @ demand) / capacity / 200, 1.0)
-    for _ in range(rounds):
-        supply = np.floor(left / step + 1e-9)
-        some = np.flatnonzero(supply > 0)
-        fill = 0
-        if len(some):
-            value = sizes * (1 + lean * sizes / capacity) * np.exp(-eta * (1 - left / demand))
-            every = some
-            if len(every) > columns:  # first the dearest by density, and the smallest to fill up with
-                dear = every[np.argsort(-(value / sizes)[every], kind="stable")[:columns * 3 // 4]]
-                some = np.union1d(dear, every[:columns // 4])
-            taken = knapsack(sizes[some], value[some], supply[some], capacity)
-            fill = sum(int(sizes[some[k]]) * c for k, c in taken.items())
-            if fill < 0.9995 * capacity and len(some) < len(every):  # none is rejected before all sizes were priced
-                some = every
-                taken = knapsack(sizes[some], value[some], supply[some], capacity)
-                fill = sum(int(sizes[some[k]]) * c for k, c in taken.items())
-        if fill < 0.9995 * capacity:
-            if step == 1 or not fill:
-                break  # what is left no longer fills containers: best-fit does the rest
-            step = max(step / 2, 1.0)
-            continue
-        x = min(left[some[k]] / c for k, c in taken.items())
-        x = min(x, step)
-        config = tuple(sorted(((int(sizes[some[k]]), c) for k, c in taken.items()), reverse=True))
-        found[config] = found.get(config, 0.0) + x
-        for k, c in taken.items():
-            left[some[k]] -= c * x
-        if float(sizes @ left) < capacity:
-            break
+    demand = np.array([hist[int(k)] for k in sizes], np.int64)
+    left, found, most = demand.copy(), {}, widest(sizes, capacity)
+    rate, extra = eta * np.log(len(sizes) + 1), 0.5 / capacity
+
+    def take(some: np.ndarray, config: dict[int, int], supply: np.ndarray) -> int:
+        n = min(int(supply[k]) // c for k, c in config.items())
+        for k, c in config.items():
+            supply[k] -= c * n
+            left[some[k]] -= c * n
+        name = tuple(sorted(((int(sizes[some[k]]), c) for k, c in config.items()), reverse=True))
+        found[name] = found.get(name, 0) + n
+        return n
+
+    for stage in range(stages):
+        supply = -(-left // (stages - stage))
+        while int(sizes @ supply) >= most:
+            some = np.flatnonzero(supply > 0)
+            weight = np.exp(-rate * (1 - left[some] / demand[some]))
+            weight /= weight.max()
+            here, stock = sizes[some], supply[some]
+            prices = here / capacity * (1 + extra * (lean * here / capacity + (1 - lean) * weight))
+            best, _ = fullest(here, prices, capacity)
+            made = 0
+            for first in range(len(here) - 1, -1, -1):
+                while stock[first] > 0:
+                    config, room, rest = {first: 1}, capacity - int(here[first]), stock.copy()
+                    rest[first] -= 1
+                    while room >= here[0]:
+                        upto = int(np.searchsorted(here, room, "right"))
+                        worth = np.where(rest[:upto] > 0, best[room - here[:upto]] + prices[:upto], -1.0)
+                        k = int(worth.argmax())
+                        if worth[k] < 0:
+                            break
+                        config[k] = config.get(k, 0) + 1
+                        rest[k] -= 1
+                        room -= int(here[k])
+                    if capacity - room < most:
+                        break
+                    made += take(some, config, stock)
+            if not made and most_exact > 0:
+                most_exact -= 1
+                config = knapsack(here, prices, stock, capacity)
+                if sum(int(here[k]) * c for k, c in config.items()) >= most:
+                    made = take(some, config, stock)
+            supply[some] = stock
+            if not made:
+                break
     return found
 
 
+def widest(sizes: np.ndarray, capacity: int) -> int:
+    """How many tokens a container can hold at most, by any number of each size."""
+    held = np.zeros(capacity + 1, bool)
+    held[0] = True
+    for w in range(int(sizes[0]), capacity + 1):
+        held[w] = held[w - sizes[:np.searchsorted(sizes, w, "right")]].any()
+    return int(np.flatnonzero(held)[-1])
+
+
 def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
     """Best-fit decreasing on a histogram: equal containers are one group, so work follows sizes, not texts."""
     groups: list[tuple[int, int, dict[int, int]]] = []  # room, containers, contents
@@ -279,21 +309,52 @@ def rounded(program: dict[Filling, float], hist: dict[int, int], capacity: int)
     return whole + min(made, other, key=lambda fillings: sum(n for _, n in fillings))
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Filling, int]]:
-    """Fillings and how many containers have each; together they hold the histogram exactly.
+@dataclass(frozen=True)
+class Plan:
+    """Fillings and how many containers have each, a bound no packing goes below, and the containers the program made."""
+
+    fillings: list[tuple[Filling, int]]
+    bound: float
+    by_program: int
+
+    @property
+    def containers(self) -> int:
+        return sum(n for _, n in self.fillings)
+
+
+def planned(hist: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The plan of a histogram, which its fillings hold exactly.
 
-    The dealt solution is rounded down, the rest packed best-fit.  If that
-    takes more than a thousandth, and more than one container, over the tokens'
-    own bound, the program is solved by generated columns, which need not fill
-    their containers, and the fewer containers count.
+    The program by multiplicative weights comes first, with what it leaves
+    packed best-fit, and plain best-fit where that takes fewer containers.  With
+    every token at the same price no container is worth more than the most
+    tokens one can hold, which bounds the program from below.  If the count is
+    more than a thousandth, and more than one container, over that bound, the
+    program is solved by generated columns, and the fewer containers count.
     """
-    made = rounded(solve(hist, capacity), hist, capacity)
-    count, least = sum(n for _, n in made), -(-sum(s * n for s, n in hist.items()) // capacity)
-    slack = max(1, least // 1000)
-    if count - least <= slack:
-        return made
-    program, _ = relax(hist, capacity, [config for config, _ in made], count - slack)
-    return min(made, rounded(program, hist, capacity), key=lambda fillings: sum(n for _, n in fillings))
+    hist = {k: n for k, n in hist.items() if k > 0 and n > 0}
+    if not hist:
+        return Plan([], 0.0, 0)
+    program = solve(hist, capacity)
+    rest = dict(hist)
+    for config, n in program.items():
+        for size, c in config:
+            rest[size] -= c * n
+    bound = sum(s * n for s, n in hist.items()) / widest(np.array(sorted(hist), np.int64), capacity)
+    plans = [Plan([*sorted(program.items()), *best_fit(rest, capacity)], bound, sum(program.values())), Plan(best_fit(hist, capacity), bound, 0)]
+    made = min(plans, key=lambda p: p.containers)
+    slack = max(1, int(bound) // 1000)
+    if made.containers - np.ceil(bound - 1e-6) > slack:
+        columns, better = relax(hist, capacity, [config for config, _ in made.fillings], made.containers - slack)
+        bound, other = max(bound, better), rounded(columns, hist, capacity)
+        if sum(n for _, n in other) < made.containers:
+            made = Plan(other, bound, sum(min(int(x + 1e-6), *(hist[s] // c for s, c in config)) for config, x in columns.items()))
+    return Plan(made.fillings, bound, made.by_program)
+
+
+def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Filling, int]]:
+    """The fillings of :func:`planned`."""
+    return planned(hist, capacity).fillings
 
 
 class Places:
@@ -358,21 +419,8 @@ def ranked(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     return local.join(offsets, ["size", "_bucket"]).withColumn("rank", F.col("_before") + F.col("_local")).drop("_bucket", "_local", "_before")
 
 
-def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = tokenizing.DEFAULT) -> DataFrame:
-    """Every document's container and position.
-
-    ``documents`` has ``doc_id`` and ``text``; other columns are ignored.
-    Result: ``doc_id``, ``part_no``, ``n_tokens``, ``container_id``, ``slot_no``
-    and ``token_start`` (the place of its first token in the container).  A text
-    is whole (``part_no`` 0) unless it has more than ``capacity`` tokens: then
-    it is cut into parts of ``capacity`` tokens and a rest.  Texts that are
-    null or empty take no room and are shared out over all containers.  Each row
-    is a document, rows repeated exactly too; a row with a null ``doc_id`` is
-    placed like any other.  No rows give no containers.
-
-    Texts are tokenized once; the counts are kept in the checkpoint folder
-    because both the histogram and the placing need them.
-    """
+def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = tokenizing.DEFAULT) -> tuple[DataFrame, Plan]:
+    """:func:`pack_documents` and the plan behind it."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
     counted = cut_lineage(tokenizing.token_counts(documents, ["doc_id"], tokenizer))
@@ -380,8 +428,8 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     parts = counted.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / cap) - 1, F.lit(0)).cast("int"))).alias("part_no"))
     items = parts.select("doc_id", "part_no", F.least(F.col("n_tokens") - F.col("part_no") * cap, cap).cast("int").alias("size"))
     hist = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity + 1 rows
-    places = Places(plan(hist, capacity))
-    held = documents.sparkSession.sparkContext.broadcast(places)  # bounded by the rounds of the program and the capacity
+    made = planned(hist, capacity)
+    held = documents.sparkSession.sparkContext.broadcast(Places(made.fillings))  # bounded by the stages of the program and the capacity
 
     def place(batches):
         import pyarrow as pa
@@ -391,7 +439,26 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
             container, slot, start = held.value.of(size, rank)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part_no"), pa.array(size), pa.array(container), pa.array(slot), pa.array(start)], names=["doc_id", "part_no", "n_tokens", "container_id", "slot_no", "token_start"])
 
-    return ranked(items, ["doc_id", "part_no"]).select("doc_id", "part_no", "size", "rank").mapInArrow(place, "doc_id bigint, part_no int, n_tokens bigint, container_id bigint, slot_no bigint, token_start bigint")
+    placed = ranked(items, ["doc_id", "part_no"]).select("doc_id", "part_no", "size", "rank").mapInArrow(place, "doc_id bigint, part_no int, n_tokens bigint, container_id bigint, slot_no bigint, token_start bigint")
+    return placed, made
+
+
+def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = tokenizing.DEFAULT) -> DataFrame:
+    """Every document's container and position.
+
+    ``documents`` has ``doc_id`` and ``text``; other columns are ignored.
+    Result: ``doc_id``, ``part_no``, ``n_tokens``, ``container_id``, ``slot_no``
+    and ``token_start`` (the place of its first token in the container).  A text
+    is whole (``part_no`` 0) unless it has more than ``capacity`` tokens: then
+    it is cut into parts of ``capacity`` tokens and a rest.  Texts that are
+    null or empty take no room and are shared out over all containers.  Each row
+    is a document, rows repeated exactly too; a row with a null ``doc_id`` is
+    placed like any other.  No rows give no containers.
+
+    Texts are tokenized once; the counts are kept in the checkpoint folder
+    because both the histogram and the placing need them.
+    """
+    return pack(documents, capacity, tokenizer)[0]
 
 
 def fill_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

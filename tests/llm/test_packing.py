@@ -127,3 +127,19 @@ def test_rows_repeated_and_without_id(spark):
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 4).collect()
     places = [(r.container_id, r.slot_no) for r in got]
     assert len(places) == len(set(places)) == 4
+
+
+@pytest.mark.parametrize("times", [1, 100, 10_000])
+def test_the_program_fills_the_containers_and_never_takes_more_than_best_fit(times):
+    rng = random.Random(8)
+    hist = {s: n * times for s, n in Counter(min(int(rng.lognormvariate(6, 1.2)) + 1, 2048) for _ in range(6_000)).items()}
+    made = packing.planned(hist)
+    assert held(made.fillings) == Counter(hist) and all(sum(s * c for s, c in f) <= 2048 for f, _ in made.fillings)
+    assert made.bound - 1e-6 <= made.containers <= sum(n for _, n in packing.best_fit(dict(hist), 2048))
+    assert made.containers <= -(-made.bound // 1) * 1.001 + 1 and made.by_program >= 0.95 * made.containers
+
+
+def test_the_report_has_the_bound_of_the_program(spark):
+    placed, made = packing.pack(spark.createDataFrame([(k, "a b c") for k in range(7)], "doc_id bigint, text string"), 8)
+    assert made.bound == 7 * 3 / 6 and made.containers == 4 == packing.fill_report(placed, 8).first().containers
+    assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string"))[1].bound == 0
