@@ -6,95 +6,117 @@ latent: a tweet is abusive if any token is T.  With O scored 0 throughout, the
 path of only O has weight 1, hence P(abusive) = 1 - 1/Z, and forward-backward
 marginals give the exact gradient.  Reviewers' error rates are estimated along
 with the field: the target of a tweet is the posterior of its verdicts and a
-prediction by a field that has not seen it.  Weights are drawn to a prior in
-which the word classes of the lexicon speak, so that few labels suffice to
-start with and many outweigh it.
+prediction by a field that has not seen it.  All that the field knows of words it
+has from the labelled tweets: there is no word list and no weight set by hand.
+Features are hashed to rows of one table, in whole batches at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from array import array
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.lexicon import OF_WORD
-from millrace.llm.spelling import plain, tokens
+from millrace.llm.spelling import Speller, plain
 
 #: Most labelled tweets used to fit; the ones of smallest hash are taken.
 MOST_LABELLED = 20_000
+STRENGTH = 0.5  # of the pull of weights to 0
 LONGEST = 400  # tokens of the texts that are padded alike when fitting
+BITS = 20  # of a feature's row
 QUOTES = set("\"“”«»„")
+HOW = {"": 0, "drawn": 1, "alike": 2, "apart": 3, "leet": 4, "mask": 5}
 
+Tokens = Sequence[tuple[str, str, int, int]]
 
-def features(toks: Sequence[tuple[str, str, int, int]]) -> list[list[str]]:
-    """Feature names of each token: words and classes around it, and what the text holds."""
-    words = [t[0] for t in toks]
-    kinds = [OF_WORD.get(w, ()) for w in words]
-    held = {k for ks in kinds for k in ks}
-    quoted, inside = [], False
-    for w in words:
-        if w in QUOTES:
-            inside = not inside
-        quoted.append(inside)
-    about = [k for k in ("YOU", "SELF", "TURN") if k in held]
-    about += [k for k in ("<user>", "<url>") if k in words]
-    out = []
-    n = len(words)
-    for i in range(n):
-        w, how = words[i], toks[i][1]
-        a, b = words[i - 1] if i else "<s>", words[i + 1] if i + 1 < n else "</s>"
-        aa, bb = words[i - 2] if i > 1 else "<s>", words[i + 2] if i + 2 < n else "</s>"
-        f = ["b", "w=" + w, "p=" + a, "n=" + b, "pw=" + a + " " + w, "wn=" + w + " " + b, "ppw=" + aa + " " + a + " " + w, "wnn=" + w + " " + b + " " + bb, "pn=" + a + " " + b]
-        if how:
-            f.append("h=" + how)
-        if len(w) > 3 and w[0] != "<":
-            f += ["s3=" + w[-3:], "x4=" + w[:4]]
-        for k in kinds[i]:
-            f.append("k=" + k)
-            f.append("kp=" + k + " " + a)
-            f.append("kn=" + k + " " + b)
-            if how:
-                f.append("kh=" + k)
-            if quoted[i]:
-                f.append("kq=" + k)
-            f += ["ka=" + k + " " + x for x in about]
-            if "YOU" not in held and "<user>" not in words:
-                f.append("k0=" + k)
-        for d, name in ((-2, "k-2="), (-1, "k-1="), (1, "k+1="), (2, "k+2=")):
-            if 0 <= i + d < n:
-                f += [name + k for k in kinds[i + d]]
-                if d == 1:
-                    f += ["kk=" + x + " " + k for x in kinds[i] for k in kinds[i + d]]
-        out.append(f)
-    return out
+
+@lru_cache(maxsize=200_000)
+def _hashes(word: str) -> tuple[int, int, int]:
+    """A word's number, and those of its beginning and end."""
+    number = lambda x: xxhash.xxh64_intdigest(x)
+    plain_word = len(word) > 3 and word[0] != "<"
+    return number(word), number("^" + word[:4]) if plain_word else 0, number("$" + word[-3:]) if plain_word else 0
+
+
+def _row(kind: int, *parts: np.ndarray) -> np.ndarray:
+    """The table row of a feature of some kind: a mix of its parts' numbers."""
+    z = np.full(len(parts[0]), np.uint64(kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    for p in parts:
+        z = (z ^ p) * np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(29)
+    z *= np.uint64(0x94D049BB133111EB)
+    return (z >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-#: Prior weights.  A class alone is a hint, a class with one spoken to nearly a verdict.
-PRIOR = {
-    "b": -4.5, "k=INSULT": 2.5, "k=SCORN": 1.0, "k=COARSE": 0.8, "k=SEX": 1.5, "k=HARM": 0.3, "k=EXPEL": 0.2, "kh=INSULT": 2.5, "kh=SCORN": 2.0, "kh=SEX": 2.5, "kh=COARSE": 2.0,
-    "ka=INSULT YOU": 1.5, "ka=INSULT <user>": 1.0, "ka=SCORN YOU": 1.0, "ka=COARSE YOU": 1.0, "ka=HARM YOU": 0.5, "ka=SEX <url>": 1.0, "ka=SEX YOU": 0.8, "kk=SCORN INSULT": 2.0, "h=mask": 0.5, "h=apart": 1.0,
-    "ka=INSULT TURN": -1.0, "ka=COARSE TURN": -0.5, "ka=SEX TURN": -1.0, "kq=INSULT": -1.0, "k0=HARM": -0.5, "k0=COARSE": -0.5,
-}
-TRANSITION = np.array([-0.5, 0.0, 1.0])  # O to T, T to O, T to T
+KINDS = 22
+
+
+def feature_rows(docs: Sequence[Tokens]) -> np.ndarray:
+    """Table rows of the features of all tokens of all texts, one after another: (tokens, ``KINDS``).
+
+    A token has its word, spelling and disguise, the words on either side and
+    up to four further off, in pairs and threes, and its word with what the text
+    holds: names, links, and quotation marks opened before it.
+    """
+    n = [len(d) for d in docs]
+    width = sum(n) + 8 * (len(docs) + 1)
+    word, head, tail, how, about = (np.zeros(width, np.uint64) for _ in range(5))
+    place, at = np.empty(sum(n), np.int64), 8
+    done = 0
+    for d in docs:
+        k = len(d)
+        if k:
+            numbers = np.array([_hashes(t[0]) for t in d], np.uint64)
+            word[at:at + k], head[at:at + k], tail[at:at + k] = numbers.T
+            how[at:at + k] = [HOW[t[1]] for t in d]
+            marks = np.cumsum([t[0] in QUOTES for t in d]) & 1
+            names = {t[0] for t in d}
+            about[at:at + k] = marks + 2 * ("<user>" in names) + 4 * ("<url>" in names) + 8
+            place[done:done + k] = np.arange(at, at + k)
+            done += k
+        at += k + 8
+    w = {d: word[place + d] for d in range(-4, 5)}
+    h = how[place]
+    with np.errstate(over="ignore"):
+        rows = [
+            np.zeros(len(place), np.int64), _row(1, w[0]), _row(2, w[-1]), _row(3, w[1]), _row(4, w[-1], w[0]), _row(5, w[0], w[1]), _row(6, w[-2], w[-1], w[0]), _row(7, w[0], w[1], w[2]),
+            _row(8, w[-1], w[1]), _row(9, h), _row(10, h, w[0]), _row(11, head[place]), _row(12, tail[place]), _row(13, about[place], w[0]),
+            *[_row(14 + k, w[0], w[d]) for k, d in enumerate((-4, -3, -2, 2, 3, 4))], _row(20, w[-2]), _row(21, w[2]),
+        ]
+    rows = np.stack(rows, axis=1)
+    rows[:, 1:] = np.maximum(rows[:, 1:], 1)  # row 0 is the bias
+    return rows
 
 
 @dataclass
 class Field:
     """Weights of a fitted field."""
 
-    weights: dict[str, float] = field(default_factory=dict)
-    trans: np.ndarray = field(default_factory=lambda: TRANSITION.copy())
+    table: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    trans: np.ndarray = field(default_factory=lambda: np.zeros(3))
     reviewers: dict[str, tuple[float, float]] = field(default_factory=dict)
+    odds: dict[str, float] = field(default_factory=dict)
+
+    def speller(self) -> Speller:
+        if getattr(self, "_speller", None) is None:
+            self._speller = Speller(self.odds)
+        return self._speller
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_speller"}
 
-    def emissions(self, toks) -> np.ndarray:
-        get = self.weights.get
-        return np.array([sum(get(x, 0.0) for x in f) for f in features(toks)])
+    def emissions(self, docs: Sequence[Tokens]) -> np.ndarray:
+        """How much likelier T than O each token of all texts is, one after another."""
+        return self.table[feature_rows(docs)].sum(axis=1, dtype=np.float64)
 
 
 def forward_backward(e: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,17 +154,9 @@ def forward_backward(e: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tu
 class _Corpus:
     """Labelled tweets as index arrays."""
 
-    def __init__(self, texts: Sequence[str], least: int = 2):
-        # features are numbered as they come, so that no list of names is held
-        at: dict[str, int] = {}
-        ids, own, length = array("i"), array("i"), array("i")
-        for t in texts:
-            doc = features(tokens(plain(t)))
-            length.append(len(doc))
-            for f in doc:
-                own.append(len(f))
-                ids.extend([at.setdefault(x, len(at)) for x in f])
-        self.n, self.length = len(texts), np.array(length, np.int64)
+    def __init__(self, docs: Sequence[Tokens], rate: float = 0.2, least: int = 2):
+        self.n, self.length = len(docs), np.array([len(d) for d in docs], np.int64)
+        rows = feature_rows(docs)
         # texts of up to LONGEST tokens are padded alike, longer ones with those of up to 1, 2, 4, ... times as many
         double = np.ceil(np.log2(np.maximum(self.length, LONGEST) / LONGEST)).astype(np.int64)
         self.parts: list[tuple[np.ndarray, int, int]] = []  # texts, first slot, width
@@ -154,17 +168,20 @@ class _Corpus:
             self.parts.append((part, self.slots, width))
             self.slots += len(part) * width
         starts = np.cumsum(self.length) - self.length
-        slot = np.repeat(first - starts, self.length) + np.arange(int(self.length.sum()))
-        texts = np.repeat(np.repeat(np.arange(self.n), self.length), np.array(own, np.int64))
-        rows, ids = np.repeat(slot, np.array(own, np.int64)), np.array(ids, np.int64)
+        slot = np.repeat(first - starts, self.length) + np.arange(len(rows))
+        text = np.repeat(np.arange(self.n), self.length)
         # a feature counts if several texts have it
-        seen = np.bincount(np.unique(ids * self.n + texts) // max(self.n, 1), minlength=len(at))
-        keep = (seen >= least) | np.array([x in PRIOR for x in at], bool)
-        self.names = [x for x, k in zip(at, keep) if k]
-        renumbered = np.cumsum(keep) - 1
-        some = keep[ids]
-        self.ids, self.rows = renumbered[ids[some]], rows[some]
-        self.prior = np.array([PRIOR.get(k, 0.0) for k in self.names] + list(TRANSITION))
+        seen = np.bincount(np.unique(rows * self.n + text[:, None]) // max(self.n, 1), minlength=1 << BITS)
+        seen[0] = max(least, int(seen[0]))
+        self.names = np.flatnonzero(seen >= least)  # table rows, the bias first
+        at = np.full(1 << BITS, -1, np.int64)
+        at[self.names] = np.arange(len(self.names))
+        ids = at[rows]
+        some = ids >= 0
+        self.ids, self.rows = ids[some], np.broadcast_to(slot[:, None], rows.shape)[some]
+        # to begin with, as many tweets are abusive as the reviewers say, by any token alike
+        self.prior = np.zeros(len(self.names) + 3)
+        self.prior[0] = math.log(max(rate, 1e-3) / max(float(self.length.mean()) if self.n else 1.0, 1.0))
 
     def chains(self, w: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """log Z of each text, marginals by part, expected transitions of each text."""
@@ -187,7 +204,9 @@ class _Corpus:
         grad[:-3] = np.bincount(self.ids, np.concatenate([(m * g[part, None]).ravel() for (part, _, _), m in zip(self.parts, marginals)])[self.rows], len(w) - 3)
         grad[-3:] = (pairs * g[:, None]).sum(0)
         d = w - self.prior
-        return value + strength / 2 * float(d @ d), grad + strength * d
+        hold = np.full(len(w), strength)
+        hold[0] = strength / 10  # the bias is nearly free
+        return value + float(hold @ (d * d)) / 2, grad + hold * d
 
     def scores(self, w: np.ndarray) -> np.ndarray:
         return -np.expm1(-self.chains(w)[0])
@@ -231,43 +250,63 @@ class _Corpus:
         return w
 
 
-def fit_field(texts: Sequence[str], verdicts: Sequence[Sequence[tuple[str, int]]], strength: float = 0.5, rounds: int = 3, folds: int = 4, steps: int = 50) -> Field:
+def learnt_odds(docs: Sequence[Tokens], q: np.ndarray, least: int = 2) -> dict[str, float]:
+    """How much likelier each word of the texts is in abusive ones, of words without disguise in at least ``least`` texts."""
+    bad, all_of = Counter(), Counter()
+    for d, p in zip(docs, q):
+        for w in {t[0] for t in d if not t[1] and t[0][0] != "<"}:
+            bad[w] += float(p)
+            all_of[w] += 1
+    rate = float(np.mean(q)) if len(q) else 0.0
+    return {w: math.log((bad[w] + rate) / (n - bad[w] + 1 - rate)) for w, n in all_of.items() if n >= least}
+
+
+def fit_field(texts: Sequence[str], verdicts: Sequence[Sequence[tuple[str, int]]], strength: float = STRENGTH, rounds: int = 2, folds: int = 4, steps: int = 20) -> Field:
     """A field from tweets and their reviewers' verdicts; deterministic.
 
-    Without any tweet the prior alone makes the field.
+    Without any tweet it knows nothing, and every text scores 0.
     """
     if not texts:
-        return Field(dict(PRIOR))
-    c = _Corpus(texts)
+        return Field(np.zeros(1 << BITS, np.float32), np.full(3, -60.0))
     names = sorted({r for v in verdicts for r, _ in v})
     rates = {r: (0.9, 0.95) for r in names}  # P(yes | abusive), P(no | not)
     n = len(texts)
-    prior = c.scores(c.prior)
-    p = np.clip(0.15 + 0.7 * prior, 0.02, 0.98)
-    fold = np.arange(n) % folds
-    everything = np.ones(n, bool)
-    w = None
-    for k in range(rounds + 1):
+    votes = np.array([sum(y for _, y in v) / max(len(v), 1) for v in verdicts])
+    rate = min(max(float(votes.mean()), 0.01), 0.99)
+    p = np.full(n, rate)
+
+    def posterior(p: np.ndarray) -> np.ndarray:
         odds = np.log(p / (1 - p))
         for i, v in enumerate(verdicts):
             for r, y in v:
                 sens, spec = rates[r]
                 odds[i] += math.log(sens / (1 - spec)) if y else math.log((1 - sens) / spec)
-        q = 1 / (1 + np.exp(-odds))
+        return 1 / (1 + np.exp(-odds))
+
+    shown = [plain(t) for t in texts]
+    q = posterior(p)
+    odds = learnt_odds([Speller().tokens(t) for t in shown], q)
+    speller = Speller(odds)
+    c = _Corpus([speller.tokens(t) for t in shown], rate)
+    fold = np.arange(n) % folds
+    fits: list[np.ndarray | None] = [None] * folds
+    for _ in range(rounds):
+        fresh = np.empty(n)
+        for j in range(folds):
+            fits[j] = c.fit(q, fold != j, strength, steps, fits[j])  # a later round starts where the one before ended
+            fresh[fold == j] = c.scores(fits[j])[fold == j]
+        p = np.clip(fresh, 0.003, 0.997)
+        q = posterior(p)
         for r in names:
             s = [(q[i], y) for i, v in enumerate(verdicts) for x, y in v if x == r]
             yes, no = sum(a for a, _ in s), sum(1 - a for a, _ in s)
             # a few imagined verdicts of a good reviewer keep small samples sane
             rates[r] = (min((sum(a * y for a, y in s) + 18) / (yes + 20), 0.99), min((sum((1 - a) * (1 - y) for a, y in s) + 38) / (no + 40), 0.995))
-        if k == rounds:
-            break
-        fresh = np.empty(n)
-        for j in range(folds):
-            wj = c.fit(q, fold != j, strength, steps)
-            fresh[fold == j] = c.scores(wj)[fold == j]
-        p = np.clip(fresh, 0.003, 0.997)
-    w = c.fit(q, everything, strength, 2 * steps, w)
-    return Field({k: float(x) for k, x in zip(c.names, w) if abs(x) > 1e-4} | {k: v for k, v in PRIOR.items() if k not in set(c.names)}, w[-3:].copy(), rates)
+        q = posterior(p)
+    w = c.fit(q, np.ones(n, bool), strength, 2 * steps, np.mean(fits, axis=0))
+    table = np.zeros(1 << BITS, np.float32)
+    table[c.names] = w[:-3]
+    return Field(table, w[-3:].copy(), rates, odds)
 
 
 def _spans(score: float, marginal: np.ndarray, toks, shown: str) -> list[tuple[int, int, str]]:
@@ -288,58 +327,60 @@ def score_text(f: Field, text: str | None) -> tuple[float, list[tuple[int, int,
 
     The whole text is one chain, whatever its length.
     """
-    if not text:
-        return 0.0, [], 0.0
-    shown = plain(text)
-    toks = tokens(shown)
-    if not toks:
-        return 0.0, [], 0.0
-    logz, m, _ = forward_backward(f.emissions(toks)[None, :], np.array([len(toks)]), f.trans)
-    score = -math.expm1(-float(logz[0]))
-    return score, _spans(score, m[0], toks, shown), float(m[0].max())
-
-
-def score_batch(f: Field, texts: Sequence[str | None]) -> list[tuple[float, list[tuple[int, int, str]], float]]:
-    """:func:`score_text` of many texts, short ones together in one array pass."""
-    out: list = [None] * len(texts)
-    short: list[tuple[int, str, list, np.ndarray]] = []
+    return score_batch(f, [text])[0]
+
+
+def score_batch(f: Field, texts: Sequence[str | None], most: int = 200_000) -> list[tuple[float, list[tuple[int, int, str]], float]]:
+    """:func:`score_text` of many texts, together in array passes of about ``most`` padded tokens."""
+    out: list = [(0.0, [], 0.0)] * len(texts)
+    speller = f.speller()
+    held = []
     for k, t in enumerate(texts):
-        if not t:
-            out[k] = (0.0, [], 0.0)
-            continue
-        shown = plain(t)
-        toks = tokens(shown)
-        if not toks:
-            out[k] = (0.0, [], 0.0)
-        elif len(toks) > 64:
-            out[k] = score_text(f, t)
-        else:
-            short.append((k, shown, toks, f.emissions(toks)))
-    if short:
-        length = np.array([len(s[2]) for s in short])
-        e = np.zeros((len(short), int(length.max())))
-        for r, s in enumerate(short):
-            e[r, :length[r]] = s[3]
+        if t:
+            shown = plain(t)
+            toks = speller.tokens(shown)
+            if toks:
+                held.append((len(toks), k, shown, toks))
+    held.sort(key=lambda x: (x[0], x[1]))  # texts of like length share a pass
+    at = 0
+    while at < len(held):
+        upto = at + 1
+        while upto < len(held) and held[upto][0] * (upto + 1 - at) <= most:
+            upto += 1
+        some = held[at:upto]
+        at = upto
+        length = np.array([x[0] for x in some])
+        e = np.zeros((len(some), int(length.max())))
+        e[np.arange(e.shape[1]) < length[:, None]] = f.emissions([x[3] for x in some])
         logz, m, _ = forward_backward(e, length, f.trans)
-        score = -np.expm1(-logz)
-        for r, (k, shown, toks, _) in enumerate(short):
-            spans = _spans(float(score[r]), m[r, :length[r]], toks, shown)
-            out[k] = (float(score[r]), spans, float(m[r, :length[r]].max()))
+        score, peak = -np.expm1(-logz), m.max(axis=1)
+        for r, (n, k, shown, toks) in enumerate(some):
+            spans = _spans(float(score[r]), m[r, :n], toks, shown) if score[r] >= 0.5 or peak[r] > 0.5 else []
+            out[k] = (float(score[r]), spans, float(peak[r]))
     return out
 
 
+_FITTED: dict[str, Field] = {}
+
+
 def fit_from_tables(tweets: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Field:
     """A field from a bounded sample of labelled tweets.
 
     The ``most`` tweets of smallest hash are used, with all their verdicts; rows
     of ``labels`` with a null tweet, reviewer or verdict, and labels of unknown
-    tweets or of tweets without text, are left out.
+    tweets or of tweets without text, are left out.  The field of the last few
+    samples is kept, so that queries over one sample fit it once.
     """
     by_tweet = labels.where("tweetid IS NOT NULL AND reviewer IS NOT NULL AND abusive IN (0, 1)").groupBy("tweetid").agg(F.sort_array(F.collect_list(F.struct("reviewer", "abusive"))).alias("verdicts"))
     sample = by_tweet.orderBy(F.xxhash64("tweetid"), "tweetid").limit(most)
     texts = tweets.where("text IS NOT NULL").select("tweetid", "text").join(F.broadcast(sample.select("tweetid")), "tweetid").groupBy("tweetid").agg(F.max("text").alias("text"))
-    rows = sample.join(texts, "tweetid").orderBy("tweetid").collect()
-    return fit_field([r["text"] for r in rows], [[(v["reviewer"], v["abusive"]) for v in r["verdicts"]] for r in rows])
+    rows = [(r["text"], [(v["reviewer"], v["abusive"]) for v in r["verdicts"]]) for r in sample.join(texts, "tweetid").orderBy("tweetid").collect()]
+    name = hashlib.sha256(repr(rows).encode("utf-8", "replace")).hexdigest()
+    if name not in _FITTED:
+        while len(_FITTED) >= 4:
+            _FITTED.pop(next(iter(_FITTED)))
+        _FITTED[name] = fit_field([t for t, _ in rows], [v for _, v in rows])
+    return _FITTED[name]
 
 
 def score_tweets(tweets: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
