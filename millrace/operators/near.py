@@ -1,10 +1,12 @@
 """Points near other points, and points inside regions, by latitude strips and a sweep.
 
-Latitude is cut into strips that hold about equally many points (quantiles, so
-a crowded place gets many thin strips).  A strip that stays crowded at the least
-height is cut again by longitude.  Points of the right side also go to every
-cell within reach of them; each left point lies in one cell, which so owns all
-its pairs.  A cell is sorted by latitude in the shuffle and swept in that order
+Latitude is cut into strips that hold about equally many points (by a histogram
+of lines, so a crowded place gets many thin strips).  A strip that stays crowded at
+the least height is cut again by longitude, and a cell that stays crowded at the
+least width, as around one place of many points, is shared out: its left points go
+to its shares by hash, its right points to all of them.  Points of the right side
+also go to every cell within reach of them; each left point lies in one share of
+one cell, which so owns all its pairs.  A share is sorted by latitude in the shuffle and swept in that order
 in Arrow batches: only points within the radius of the sweep line stay active,
 held in order of longitude, and every candidate's distance is verified.  A task
 never holds more than a batch and the active rows.
@@ -44,15 +46,20 @@ def reach_degrees(lat: np.ndarray, radius_m: float) -> tuple[float, np.ndarray]:
 
 
 class Cells:
-    """Strips of latitude, some of them cut by longitude.
+    """Strips of latitude, some of them cut by longitude, and crowded cells in shares.
 
     ``bounds`` are the inner strip bounds; ``cuts`` maps a strip to its inner
-    longitude bounds.  Their number follows the number of cells asked for, never
-    the number of rows.
+    longitude bounds, ``shares`` a cell to the number of its shares where that is
+    not 1.  Their number follows the number of cells asked for, never the number
+    of rows.
     """
 
-    def __init__(self, bounds: Sequence[float], cuts: dict[int, Sequence[float]], radius_m: float):
+    def __init__(self, bounds: Sequence[float], cuts: dict[int, Sequence[float]], radius_m: float, shares: dict[int, int] | None = None):
         self.bounds, self.radius_m = np.asarray(bounds, float), radius_m
+        self.shares = np.ones(len(self.bounds) + 1 + sum(len(c) for c in cuts.values()), np.int64)
+        for cell, n in (shares or {}).items():
+            self.shares[cell] = n
+        self.first = np.cumsum(self.shares) - self.shares
         # all cuts in one sorted array: strips lie further apart than longitudes can be
         self.cuts = np.array([self._key(k, x) for k in sorted(cuts) for x in sorted(cuts[k])], float)
 
@@ -66,6 +73,18 @@ class Cells:
     def own(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         return self._cell(np.searchsorted(self.bounds, lat, "right"), lon)
 
+    def placed_left(self, lat: np.ndarray, lon: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The share that owns each left point."""
+        cell = self.own(lat, lon)
+        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.first[cell] + (mixed % self.shares[cell].astype(np.uint64)).astype(np.int64)
+
+    def placed_right(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, share, longitude) for every share of every cell within the radius."""
+        row, cell, lon = self.reached(lat, lon)
+        at, share = _runs(self.first[cell], self.first[cell] + self.shares[cell] - 1)
+        return row[at], share, lon[at]
+
     def reached(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, longitude) for every cell within the radius.
 
@@ -108,39 +127,57 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+LINES = 200_000  # most lines of the histogram that steers the strips
+
+
 def plan_cells(points: DataFrame, radius_m: float, n_cells: int) -> Cells:
     """Cells for ``points`` (``latitude``, ``longitude``), about ``n_cells`` of them.
 
-    The quantiles are a fixed-size summary of all rows.  They steer the load
-    only; any bounds give the same pairs.
+    Points are counted by line of latitude, at most ``LINES`` of them and none
+    lower than the box around a circle of the radius; counts combine on the map
+    side.  Only lines crowded by themselves are counted by longitude, in steps of
+    the box's width, and only the chosen cuts come to the driver.  All this
+    steers the load; any cells give the same pairs.
     """
-    fractions = [(i + 1) / n_cells for i in range(n_cells - 1)]
-    if not fractions:
+    if n_cells < 2:
         return Cells([], {}, radius_m)
-    accuracy = max(10_000, 20 * n_cells)
-    found = points.agg(F.percentile_approx("latitude", fractions, accuracy).alias("q")).first()["q"] or []
-    least = max(2 * reach_degrees(np.zeros(1), radius_m)[0], 1e-9)
-    bounds, loads = [], [1]
-    for q in found:
-        if bounds and q - bounds[-1] < least:
-            loads[-1] += 1
-        else:
-            bounds.append(q)
-            loads.append(1)
-    crowded = {k: n for k, n in enumerate(loads) if n >= 3}
+    least = 2 * reach_degrees(np.zeros(1), radius_m)[0]
+    height = max(least, 180 / LINES)
+    line = F.floor((F.col("latitude") + 90) / height)
+    counts = sorted((r["line"], r["n"]) for r in points.groupBy(line.alias("line")).agg(F.count(F.lit(1)).alias("n")).collect())
+    target = max(sum(n for _, n in counts) / n_cells, 1.0)
+    bounds: list[float] = []
+    load, last, crowded = 0, None, {}  # strip: its line
+    for k, n in counts:
+        if last is not None and (load + n > target or last in crowded.values()):
+            bounds.append(k * height - 90)
+            load = 0
+        load, last = load + n, k
+        if n >= 3 * target:
+            crowded[len(bounds)] = k
+    if not crowded:
+        return Cells(bounds, {}, radius_m)
+    # a step is as wide as the box of a point anywhere in the line
+    edge = {strip: min(max(abs(k * height - 90), abs((k + 1) * height - 90)) + least, 90.0) for strip, k in crowded.items()}
+    step = {strip: float(max(2 * reach_degrees(np.array([e]), radius_m)[1][0], 360 / 2**24)) for strip, e in edge.items()}
+    of_line = {k: strip for strip, k in crowded.items()}
+    named = F.create_map(*[F.lit(x) for k, strip in of_line.items() for x in (k, F.struct(F.lit(strip).alias("strip"), F.lit(step[strip]).alias("step")))])
+    some = points.select(named[line].alias("c"), "longitude").where("c IS NOT NULL")
+    slim = some.groupBy("c.strip", F.floor((F.col("longitude") + 180) / F.col("c.step")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("strip").orderBy("at")) - F.col("n")
+    parts = slim.withColumn("part", F.floor(before / F.lit(target))).groupBy("strip", "part").agg(F.min("at").alias("at"), F.sum("n").alias("n")).orderBy("strip", "part").collect()
     cuts: dict[int, list[float]] = {}
-    if crowded:
-        edges, wanted, most = np.array(bounds), np.array(sorted(crowded)), max(crowded.values())
-
-        def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _chunks(batches):
-                strip = np.searchsorted(edges, _column(b, "latitude"), "right")
-                m = np.isin(strip, wanted)
-                yield pa.RecordBatch.from_arrays([pa.array(strip[m].astype(np.int32)), pa.array(_column(b, "longitude")[m])], names=["strip", "longitude"])
-
-        rows = points.select("latitude", "longitude").mapInArrow(labelled, "strip int, longitude double").groupBy("strip").agg(F.percentile_approx("longitude", [(i + 1) / most for i in range(most - 1)], accuracy).alias("q")).collect()
-        cuts = {r["strip"]: sorted(set(r["q"])) for r in rows if r["q"]}
-    return Cells(bounds, cuts, radius_m)
+    for r in parts:
+        mine = cuts.setdefault(r["strip"], [])
+        if r["part"]:
+            mine.append(r["at"] * step[r["strip"]] - 180)
+    plain = Cells(bounds, cuts, radius_m)
+    shares = {}
+    for r in parts:
+        if r["n"] >= 2 * target:
+            cell = int(plain._cell(np.array([r["strip"]]), np.array([(r["at"] + 0.5) * step[r["strip"]] - 180]))[0])
+            shares[cell] = max(shares.get(cell, 1), int(np.ceil(r["n"] / target)))
+    return Cells(bounds, cuts, radius_m, shares)
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, n_cells: int | None = None) -> DataFrame:
@@ -153,8 +190,8 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, n_cells: int
     each pair of rows; a pair on the limit counts.  An empty side gives no rows.
     The two sides are independent: a row in both pairs with itself.
 
-    ``n_cells`` defaults to the session's shuffle partitions.  Cell and group
-    together decide a row's partition.
+    ``n_cells`` defaults to the session's shuffle partitions.  A cell's share and
+    the group together decide a row's partition.
     """
     side = lambda df, k: df.select("id", "grp", "latitude", "longitude", F.lit(k).alias("side"))
     return near_pairs_tagged(side(left, 0).unionByName(side(right, 1)), radius_m, n_cells)
@@ -173,10 +210,10 @@ def near_pairs_tagged(points: DataFrame, radius_m: float, n_cells: int | None =
         for b in _chunks(batches):
             lat, lon, side = _column(b, "latitude"), _column(b, "longitude"), _column(b, "side")
             mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            row, cell, x = cells.reached(lat[theirs], lon[theirs])
+            row, cell, x = cells.placed_right(lat[theirs], lon[theirs])
             take = np.concatenate([mine, theirs[row]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([cells.own(lat[mine], lon[mine]), cell]).astype(np.int32)), b.column("grp").take(pa.array(take)), pa.array(lat[take]), pa.array(np.concatenate([lon[mine], x])), b.column("id").take(pa.array(take)), pa.array(side[take])],
+                [pa.array(np.concatenate([cells.placed_left(lat[mine], lon[mine], _column(b, "id")[mine]), cell]).astype(np.int32)), b.column("grp").take(pa.array(take)), pa.array(lat[take]), pa.array(np.concatenate([lon[mine], x])), b.column("id").take(pa.array(take)), pa.array(side[take])],
                 names=["cell", "grp", "latitude", "longitude", "id", "side"])
 
     placed = rows.mapInArrow(spread, "cell int, grp bigint, latitude double, longitude double, id bigint, side tinyint")
@@ -283,51 +320,91 @@ def rings(regions: DataFrame) -> DataFrame:
     return good.select("block_id", "ring_lat", "ring_lon", F.array_min("ring_lat").alias("low"), F.array_max("ring_lat").alias("high"))
 
 
-def _inside(lat: np.ndarray, lon: np.ndarray, ring_lat: np.ndarray, ring_lon: np.ndarray) -> np.ndarray:
-    """Even-odd test of many points against one ring, sides straight in latitude and longitude."""
+PER_DEGREE = 256  # lines of latitude at which rings are cut for their sweep
+
+
+def _line_of(lat: np.ndarray) -> np.ndarray:
+    return np.floor(lat * PER_DEGREE).astype(np.int64)
+
+
+def ring_lines(block: int, lats: Sequence[float], lons: Sequence[float]) -> Iterator[tuple[int, int, float, float, np.ndarray]]:
+    """(line, block, west, east, sides) of every line of latitude that a ring reaches.
+
+    ``sides`` are the ring's sides that touch the line, as rows of two ends; no
+    other side can tell whether a point of the line is inside.  The ring's part
+    on the line lies between ``west`` and ``east``.
+    """
+    y1, x1 = np.asarray(lats, float), np.asarray(lons, float)
+    y2, x2 = np.roll(y1, -1), np.roll(x1, -1)
+    upright = y1 != y2
+    sides = np.stack([y1, x1, y2, x2], axis=1)[upright]
+    if not len(sides):
+        return
+    low, high = np.minimum(sides[:, 0], sides[:, 2]), np.maximum(sides[:, 0], sides[:, 2])
+    at, line = _runs(_line_of(low), _line_of(high))
+    order = np.argsort(line, kind="stable")
+    at, line = at[order], line[order]
+    ends = np.flatnonzero(np.diff(line, append=line[-1] + 1)) + 1
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        some = sides[at[a:b]]
+        yield int(line[a]), block, float(some[:, [1, 3]].min()), float(some[:, [1, 3]].max()), some
+
+
+def _inside(lat: np.ndarray, lon: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Even-odd test of many points against the sides of one ring, straight in latitude and longitude."""
     odd = np.zeros(len(lat), bool)
-    for i in range(len(ring_lat)):
-        y1, x1, y2, x2 = ring_lat[i - 1], ring_lon[i - 1], ring_lat[i], ring_lon[i]
-        if y1 == y2:
-            continue
+    for y1, x1, y2, x2 in sides.tolist():
         odd ^= ((y1 > lat) != (y2 > lat)) & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
     return odd
 
 
-class _Active:
-    """Rings by latitude line, each line's rings in order of longitude: the active set of a sweep over points."""
-
-    def __init__(self, rows: Sequence[tuple], line: float = 1 / 256):
-        self.line, self.rows, self.at = line, [], {}
-        for block, lats, lons in rows:
-            lats, lons = np.asarray(lats, float), np.asarray(lons, float)
-            k = len(self.rows)
-            self.rows.append((block, lats, lons, lons.min(), lons.max(), lats.min(), lats.max()))
-            for i in range(int(np.floor(lats.min() / line)), int(np.floor(lats.max() / line)) + 1):
-                self.at.setdefault(i, []).append(k)
-        for v in self.at.values():
-            v.sort(key=lambda k: self.rows[k][3])
-
-    def hits(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, block) of every point inside a ring."""
-        where = np.floor(lat / self.line).astype(np.int64)
-        order = np.lexsort((lon, where))
-        lines, first = np.unique(where[order], return_index=True)
-        ends = np.append(first[1:], len(order))
-        rows, blocks = [], []
-        for i, a, b in zip(lines, first, ends):
+def _line_hits(held: Sequence[tuple], lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(point, block) of the points of one line, in order of longitude, inside each ring's part of it, in order of its western end.
+
+    A ring is active between its ends; corners are looked at for the points
+    between them alone.
+    """
+    rows, blocks = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for _, block, west, east, sides in held:
+        a, b = int(np.searchsorted(lon, west, "left")), int(np.searchsorted(lon, east, "right"))
+        if a < b:
+            some = a + np.flatnonzero(_inside(lat[a:b], lon[a:b], sides))
+            rows.append(some)
+            blocks.append(np.full(len(some), block, np.int64))
+    return np.concatenate(rows), np.concatenate(blocks)
+
+
+def _by_west(lines: Iterator[tuple]) -> dict[int, list[tuple]]:
+    out: dict[int, list[tuple]] = {}
+    for x in lines:
+        out.setdefault(x[0], []).append(x)
+    for v in out.values():
+        v.sort(key=lambda x: x[2])
+    return out
+
+
+def _sweep_lines(active: dict[int, list[tuple]], lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, block) of every point inside a ring: points are sorted by line and longitude and swept past the rings of each line."""
+    where = _line_of(lat)
+    order = np.lexsort((lon, where))
+    lines, first = np.unique(where[order], return_index=True)
+    ends = np.append(first[1:], len(order))
+    rows, blocks = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, a, b in zip(lines.tolist(), first.tolist(), ends.tolist()):
+        if i in active:
             run = order[a:b]
-            xs = lon[run]
-            for k in self.at.get(int(i), ()):
-                block, ring_lat, ring_lon, west, east, south, north = self.rows[k]
-                some = run[np.searchsorted(xs, west, "left"):np.searchsorted(xs, east, "right")]
-                if len(some):
-                    some = some[_inside(lat[some], lon[some], ring_lat, ring_lon)]
-                    rows.append(some)
-                    blocks.append(np.full(len(some), block, np.int64))
-        if not rows:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(rows), np.concatenate(blocks)
+            row, block = _line_hits(active[i], lat[run], lon[run])
+            rows.append(run[row])
+            blocks.append(block)
+    return np.concatenate(rows), np.concatenate(blocks)
+
+
+_REGION = "id bigint, own int, region int"
+
+
+def _found(b: pa.RecordBatch, row: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+    take = pa.array(row)
+    return pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("own").take(take), pa.array(block.astype(np.int32))], names=["id", "own", "region"])
 
 
 def containing_regions(points: DataFrame, regions: DataFrame, most_corners: int = 500_000) -> DataFrame:
@@ -338,47 +415,68 @@ def containing_regions(points: DataFrame, regions: DataFrame, most_corners: int
     A point in several regions gives several rows; a point in none gives none.
     Several rows of a point give several rows.
 
-    Up to ``most_corners`` corners (8 MB) the rings go to every task, which
-    sorts its points by latitude line and longitude and sweeps them past the
-    rings of each line, without any shuffle of points.  Beyond it, rings are
-    spread over latitude strips and joined with the points of each strip.
+    Rings are cut at lines of latitude and points are sorted and swept past the
+    rings of their line, whatever the number of rings.  That number only decides
+    where they meet: up to ``most_corners`` corners (8 MB, counted first) the
+    rings go to the points, which need not move; beyond it both are shuffled by
+    line.
     """
-    shaped = rings(regions)
+    shaped = rings(regions).select("block_id", "ring_lat", "ring_lon")
     corners = shaped.agg(F.sum(F.size("ring_lat"))).first()[0] or 0
     pts = usable(points).where("id IS NOT NULL").select("id", "own", "latitude", "longitude")
-    schema = "id bigint, own int, region int"
-    if corners <= most_corners:
-        rows = [(r["block_id"], r["ring_lat"], r["ring_lon"]) for r in shaped.select("block_id", "ring_lat", "ring_lon").collect()]
-        held = points.sparkSession.sparkContext.broadcast(_Active(rows))  # bounded by most_corners
+    if corners > most_corners:
+        return _meet_by_line(pts, shaped)
+    held = points.sparkSession.sparkContext.broadcast(_by_west(x for r in shaped.collect() for x in ring_lines(*r)))  # bounded by most_corners
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _chunks(batches):
-                row, block = held.value.hits(_column(b, "latitude"), _column(b, "longitude"))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("own").take(take), pa.array(block.astype(np.int32))], names=["id", "own", "region"])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _chunks(batches):
+            yield _found(b, *_sweep_lines(held.value, _column(b, "latitude"), _column(b, "longitude")))
 
-        return pts.mapInArrow(scan, schema)
-    return _strip_join(pts, shaped)
+    return pts.mapInArrow(scan, _REGION)
 
 
-def _strip_join(pts: DataFrame, shaped: DataFrame, per_degree: int = 256, salts: int = 32) -> DataFrame:
-    """Containment by strips, for more rings than a task should hold.
+def _meet_by_line(pts: DataFrame, shaped: DataFrame) -> DataFrame:
+    """Points and rings shuffled by line of latitude, a crowded line in several shares.
 
-    A strip's points are salted so that a crowded strip is many tasks; its
-    rings, bounded by what fits on the strip, go to each salt.
+    Points are counted by line first; a line of more than a partition's part of
+    them is shared out by hash, and its rings go to every share.  A task holds
+    the rings of one line and a batch of points.
     """
-    cell = lambda c: F.floor(c * per_degree)
-    tall = shaped.select("block_id", "ring_lat", "ring_lon", F.array_min("ring_lon").alias("west"), F.array_max("ring_lon").alias("east"), "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("strip"))
-    held = tall.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    placed = pts.withColumn("strip", cell(F.col("latitude"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    near = placed.join(held, ["strip", "salt"]).where("longitude BETWEEN west AND east AND latitude BETWEEN low AND high")
-    # even-odd test inside the JVM: fold over the sides
-    sides = F.transform(F.sequence(F.lit(0), F.size("ring_lat") - 1), lambda i: F.struct(
-        F.get("ring_lat", i).alias("y1"), F.get("ring_lon", i).alias("x1"),
-        F.get("ring_lat", (i + 1) % F.size("ring_lat")).alias("y2"), F.get("ring_lon", (i + 1) % F.size("ring_lon")).alias("x2")))
-    crosses = lambda s: F.when(((s["y1"] > F.col("latitude")) != (s["y2"] > F.col("latitude"))) & (F.col("longitude") < (s["x2"] - s["x1"]) * (F.col("latitude") - s["y1"]) / F.nullif(s["y2"] - s["y1"], F.lit(0.0)) + s["x1"]), 1).otherwise(0)
-    odd = F.aggregate(sides, F.lit(0), lambda n, s: n + crosses(s)) % 2 == 1
-    return near.where(odd).select("id", "own", F.col("block_id").alias("region"))
+    parts = int(pts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = F.floor(F.col("latitude") * PER_DEGREE).cast("bigint")
+    counts = pts.groupBy(line.alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    target = F.greatest(F.ceil(F.sum("n").over(Window.partitionBy(F.lit(1))) / parts), F.lit(1))  # over a row a line, 46,081 at most
+    shares = F.broadcast(counts.select("line", F.ceil(F.col("n") / target).cast("int").alias("shares")))
+    placed = pts.withColumn("line", line).join(shares, "line").select(
+        "line", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("kind"), F.col("longitude").alias("west"), F.lit(0.0).alias("east"), F.array("latitude").alias("sides"), "id", "own")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, lats, lons in zip(*(b.column(c).to_pylist() for c in ("block_id", "ring_lat", "ring_lon"))):
+                rows = list(ring_lines(block, lats, lons))
+                for k in range(0, len(rows), 1_000):
+                    some = rows[k:k + 1_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int32()), pa.array([r[2] for r in some]), pa.array([r[3] for r in some]), pa.array([r[4].ravel() for r in some], pa.list_(pa.float64()))], names=["line", "own", "west", "east", "sides"])
+
+    lines = shaped.mapInArrow(cut, "line bigint, own int, west double, east double, sides array<double>").join(shares, "line")
+    cast = lines.select("line", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), "west", "east", "sides", F.lit(None).cast("bigint").alias("id"), "own")
+    both = placed.unionByName(cast).repartition(parts, "line", "share").sortWithinPartitions("line", "share", "kind", "west")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for b in _chunks(batches):
+            names = [_column(b, c) for c in ("line", "share", "kind")]
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in names], axis=0)) + 1
+            for a, z in zip([0, *change.tolist()], [*change.tolist(), b.num_rows]):
+                run = b.slice(a, z - a)
+                if (place := (names[0][a], names[1][a])) != here:
+                    here, held = place, []
+                if names[2][a] == 0:
+                    held += [(None, r["own"], r["west"], r["east"], np.array(r["sides"]).reshape(-1, 4)) for r in run.select(["own", "west", "east", "sides"]).to_pylist()]
+                elif held:
+                    yield _found(run, *_line_hits(held, run.column("sides").flatten().to_numpy(), _column(run, "west")))
+
+    return both.mapInArrow(sweep, _REGION)
 
 
 def message_points(messages: DataFrame) -> DataFrame:

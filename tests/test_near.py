@@ -115,3 +115,33 @@ def test_relations_of_messages(spark):
     blocks = spark.createDataFrame([(7, 1, [40.4, 40.4, 40.6, 40.6], [-73.6, -73.4, -73.4, -73.6])], "block_id int, ring_no int, ring_lat array<double>, ring_lon array<double>")
     got = sorted(tuple(r) for r in near.dispatch_relations(messages, blocks).collect())
     assert got == [("block", 7, 4), ("block", 7, 5), ("block", 7, 7), ("near", 1, 2)]
+
+
+def test_one_place_of_many_points_is_shared_out(spark):
+    left = [(i, 0, 40.0, -74.0) for i in range(300)] + [(500 + i, 0, 41.0 + i / 10, 2.0) for i in range(30)]
+    right = [(1000 + i, 0, 40.0 + 1e-5, -74.0) for i in range(200)] + [(2000 + i, 0, 41.0 + i / 10, 2.0) for i in range(30)]
+    frame = lambda rows: spark.createDataFrame(rows, POINT)
+    cells = near.plan_cells(frame(left + right), 30.0, 16)
+    assert cells.shares.max() >= 8
+    lat, lon, ids = (np.array([p[k] for p in left], float) for k in (2, 3, 0))
+    owners = np.bincount(cells.placed_left(lat, lon, ids.astype(np.int64)))
+    assert owners.max() < 100  # of 300 points at one place
+    got = [(r.left_id, r.right_id) for r in near.near_pairs(frame(left), frame(right), 30.0, 16).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(left, right, 30.0)
+
+
+def test_cuts_of_longitude_are_no_closer_than_a_box(spark):
+    rng = random.Random(5)
+    pts = [(i, 0, 60.0, rng.uniform(10, 10.002)) for i in range(500)]
+    cells = near.plan_cells(spark.createDataFrame(pts, POINT), 30.0, 64)
+    wide = 2 * near.reach_degrees(np.array([60.0]), 30.0)[1][0]
+    assert len(cells.cuts) and np.diff(cells.cuts).min() >= wide * 0.999
+
+
+def test_a_line_of_many_points_meets_its_rings_in_shares(spark):
+    rng = random.Random(6)
+    regions = spark.createDataFrame([(k, 1, [10.0, 10.0, 10.3, 10.3], [k / 10, k / 10 + 0.08, k / 10 + 0.08, k / 10]) for k in range(20)] + [(99, 1, [9.0, 12.0, 12.0, 9.0], [-1.0, -1.0, 3.0, 3.0])], "block_id int, ring_no int, ring_lat array<double>, ring_lon array<double>")
+    pts = [(i, 5, 10.1 if i % 3 else rng.uniform(8, 13), rng.uniform(-2, 4)) for i in range(900)]
+    points = spark.createDataFrame(pts, "id bigint, own int, latitude double, longitude double")
+    one, other = (sorted(map(tuple, near.containing_regions(points, regions, most).collect())) for most in (10_000, 0))
+    assert one == other and len(one) > 600
