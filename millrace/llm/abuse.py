@@ -30,7 +30,7 @@ from millrace.llm.spelling import Speller, plain
 
 #: Most labelled tweets used to fit; the ones of smallest hash are taken.
 MOST_LABELLED = 20_000
-STRENGTH = 0.5  # of the pull of weights to 0
+STRENGTH = 1.0  # of the pull of weights to 0
 LONGEST = 400  # tokens of the texts that are padded alike when fitting
 BITS = 20  # of a feature's row
 QUOTES = set("\"“”«»„")
@@ -261,7 +261,7 @@ def learnt_odds(docs: Sequence[Tokens], q: np.ndarray, least: int = 2) -> dict[s
     return {w: math.log((bad[w] + rate) / (n - bad[w] + 1 - rate)) for w, n in all_of.items() if n >= least}
 
 
-def fit_field(texts: Sequence[str], verdicts: Sequence[Sequence[tuple[str, int]]], strength: float = STRENGTH, rounds: int = 2, folds: int = 4, steps: int = 20) -> Field:
+def fit_field(texts: Sequence[str], verdicts: Sequence[Sequence[tuple[str, int]]], strength: float = STRENGTH, rounds: int = 3, folds: int = 4, steps: int = 20) -> Field:
     """A field from tweets and their reviewers' verdicts; deterministic.
 
     Without any tweet it knows nothing, and every text scores 0.
