@@ -55,7 +55,7 @@ def p7_shares(spark, root):
 
 
 def p7_mixture(spark, root):
-    return _mixture(spark, root).rows()
+    return _mixture(spark, root).tokens()
 
 
 def p8_pieces(spark, root):

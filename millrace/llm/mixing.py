@@ -23,7 +23,7 @@ from millrace.llm import tokenizing
 from millrace.session import cut_lineage
 
 BLOCK_TOKENS = 256
-SHARDS = 128
+SHARD_SLOTS = 4_096
 MOST_SOURCES = 10_000
 
 
@@ -92,24 +92,31 @@ def allot(targets: list[tuple[str, float, int]], tokens: dict[str, int], block:
     return out
 
 
-def draw_shards(sources: list[Source], shards: int, seed: int) -> np.ndarray:
-    """Slot counts by (shard, source): multinomial draws from what is left, so that every total is met exactly."""
-    rng = np.random.default_rng(seed)
-    left = np.array([s.slots for s in sources], np.int64)
-    out = np.zeros((shards, len(sources)), np.int64)
-    for k in range(shards):
-        n = int(left.sum()) // (shards - k)
-        if not n:
-            continue
-        draw = rng.multinomial(n, left / left.sum()) if k < shards - 1 else left.copy()
-        while (draw > left).any():  # what a source no longer has is drawn again from the others
+def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of each source in a shard, slots of each source in the shards before it).
+
+    The shards are halved until one is left.  Each time the first half's counts
+    are a multinomial draw from what is left, the same in every task that makes
+    it, and what a source does not have is drawn again from the others; so every
+    total is met exactly, and shards differ in size by one at most.
+    """
+    left, before = slots.astype(np.int64), np.zeros(len(slots), np.int64)
+    total, low, high = int(left.sum()), 0, shards
+    while high - low > 1:
+        middle = (low + high) // 2
+        rng = np.random.default_rng([seed, low, high])
+        n = total * middle // shards - total * low // shards
+        draw = rng.multinomial(n, left / left.sum()) if n else np.zeros_like(left)
+        while (draw > left).any():
             over = np.maximum(draw - left, 0)
-            draw -= over
+            draw = draw - over
             room = left - draw
-            draw += rng.multinomial(int(over.sum()), room / room.sum())
-        out[k] = draw
-        left -= draw
-    return out
+            draw = draw + rng.multinomial(int(over.sum()), room / room.sum())
+        if shard < middle:
+            left, high = draw, middle
+        else:
+            left, before, low = left - draw, before + draw, middle
+    return left, before
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -144,20 +151,26 @@ def permute(x: np.ndarray, n: int, key: np.ndarray | int, rounds: int = 4) -> np
     return out.astype(np.int64)
 
 
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], names=["source", "block", "at", "tokens"])
+
+
 class Mixture:
     """The plan of a mixture and the frames that follow from it."""
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total: int | None = None, block: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = 7, tokenizer: str = tokenizing.DEFAULT):
-        self.spark, self.block, self.shards, self.seed = documents.sparkSession, block, shards, seed
+    def __init__(self, documents: DataFrame, targets: DataFrame, total: int | None = None, block: int = BLOCK_TOKENS, shards: int | None = None, seed: int = 7, tokenizer: str = tokenizing.DEFAULT, least_part: float = 0.25):
+        self.spark, self.block, self.seed, self.tokenizer = documents.sparkSession, block, seed, tokenizer
         self.targets = read_targets(targets)
-        listed = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").where(F.col("source").isin([k for k, _, _ in self.targets]))
-        self.counted = cut_lineage(tokenizing.token_counts(listed, ["doc_id", "source"], tokenizer))
+        names = documents.select(source_name(F.col("source")).alias("source"), "doc_id", "text").where(F.col("source").isin([k for k, _, _ in self.targets]))
+        # two hashes name a text; rows repeated exactly are alike and share one
+        self.listed = names.select("doc_id", "source", "text", F.xxhash64("doc_id", "source", "text").alias("k1"), F.xxhash64("text", "source", "doc_id").alias("k2"))
+        self.counted = cut_lineage(tokenizing.token_counts(self.listed, ["doc_id", "source", "k1", "k2"], tokenizer))
         sums = {r["source"]: r["n"] for r in self.counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # a row a listed source
-        self.sources = allot(self.targets, sums, block, total)
-        self.counts = draw_shards(self.sources, shards, seed)
+        self.sources = allot(self.targets, sums, block, total, least_part)
+        self.shards = shards or max(-(-sum(s.slots for s in self.sources) // SHARD_SLOTS), 1)
 
     def streams(self) -> DataFrame:
-        """``doc_id``, ``source``, ``n_tokens``, ``start``: each document's first token in its source's stream.
+        """``doc_id``, ``source``, ``k1``, ``k2``, ``n_tokens``, ``start``: each document's first token in its source's stream.
 
         The order is by hash.  Buckets of the hash are summed up first, then
         documents within a bucket, so that a source with most documents is no
@@ -169,9 +182,9 @@ class Mixture:
         sums = spread.groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("_n"))
         before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sums.select("source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        inner = Window.partitionBy("source", "_bucket").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        inner = Window.partitionBy("source", "_bucket").orderBy("_h", "doc_id", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
         local = spread.withColumn("_local", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
-        return local.join(offsets, ["source", "_bucket"]).select("doc_id", "source", "n_tokens", (F.col("_before") + F.col("_local")).alias("start"))
+        return local.join(offsets, ["source", "_bucket"]).select("doc_id", "source", "k1", "k2", "n_tokens", (F.col("_before") + F.col("_local")).alias("start"))
 
     def pieces(self) -> DataFrame:
         """What each block holds: ``source``, ``block``, ``doc_id``, ``token_from``, ``token_to`` (in the document)."""
@@ -185,37 +198,66 @@ class Mixture:
         """Every slot of the mixture: ``shard``, ``position``, ``source``, ``block``, ``use_no``.
 
         ``use_no`` counts from 0 how often the block was used before.  A task
-        makes its slots from (shard, source) runs by arithmetic alone.
+        makes the slots of its shards by arithmetic alone.
         """
-        runs = []
-        first = np.zeros(len(self.sources), np.int64)
-        for k in range(self.shards):
-            base = 0
-            for j, s in enumerate(self.sources):
-                n = int(self.counts[k, j])
-                if n:
-                    runs.append((k, j, int(first[j]), n, base, int(self.counts[k].sum())))
-                    base += n
-            first += self.counts[k]
         names, blocks, seed = [s.name for s in self.sources], [s.blocks for s in self.sources], self.seed
+        given, shards = np.array([s.slots for s in self.sources], np.int64), self.shards
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        table = self.spark.createDataFrame(runs, "shard int, j int, first bigint, n bigint, base bigint, size bigint").repartition(parts, "shard")
 
         def make(batches: Iterator[pa.RecordBatch], chunk: int = 100_000) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r in b.to_pylist():
-                    for a in range(0, r["n"], chunk):
-                        i = np.arange(a, min(a + chunk, r["n"]), dtype=np.int64)
-                        g, n = r["first"] + i, blocks[r["j"]]
+            for shard in (int(x) for b in batches for x in b.column(0).to_pylist()):
+                counts, before = shard_counts(given, shards, shard, seed)
+                size, base = int(counts.sum()), 0
+                for j, mine in enumerate(counts.tolist()):
+                    for a in range(0, mine, chunk):
+                        i = np.arange(a, min(a + chunk, mine), dtype=np.int64)
+                        g, n = int(before[j]) + i, blocks[j]
                         use = g // n
-                        block = permute(g % n, n, (use + np.int64((r["j"] + 1) * 1_000_003 + seed * 7_919)).astype(np.uint64))
-                        position = permute(r["base"] + i, r["size"], r["shard"] * 15_485_863 + seed)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), r["shard"], np.int32)), pa.array(position), pa.array([names[r["j"]]] * len(i)), pa.array(block), pa.array(use)], names=["shard", "position", "source", "block", "use_no"])
+                        block = permute(g % n, n, (use + np.int64((j + 1) * 1_000_003 + seed * 7_919)).astype(np.uint64))
+                        position = permute(base + i, size, shard * 15_485_863 + seed)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), shard, np.int64)), pa.array(position), pa.repeat(pa.scalar(names[j]), len(i)), pa.array(block), pa.array(use)], names=["shard", "position", "source", "block", "use_no"])
+                    base += mine
 
-        return table.mapInArrow(make, "shard int, position bigint, source string, block bigint, use_no bigint")
+        table = self.spark.range(0, shards if given.sum() else 0, 1, min(parts, shards))
+        return table.mapInArrow(make, "shard bigint, position bigint, source string, block bigint, use_no bigint")
+
+    def blocks(self) -> DataFrame:
+        """The tokens of every block: ``source``, ``block``, ``tokens``.
+
+        Texts are tokenized where they meet their place in the stream, by their
+        hashes; only tokens go on.  A block's pieces, at most as many as it has
+        tokens, are put together in order.
+        """
+        size, tokenizer = self.block, self.tokenizer
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encode = tokenizing.encoder(tokenizer).encode_ordinary
+            for b in batches:
+                rows, held = [], 0
+                for source, text, start in zip(*(b.column(c).to_pylist() for c in ("source", "text", "start"))):
+                    tokens = np.array(encode(text), np.int32)
+                    edges = [0, *range(size - start % size, len(tokens), size), len(tokens)]
+                    for x, y in zip(edges, edges[1:]):
+                        rows.append((source, (start + x) // size, (start + x) % size, tokens[x:y]))
+                        held += y - x
+                    if held > 500_000:
+                        yield _pieces(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield _pieces(rows)
+
+        texts = self.listed.where("text <> ''").groupBy("k1", "k2").agg(F.any_value("text").alias("text"))
+        placed = self.streams().where("n_tokens > 0").join(texts, ["k1", "k2"])
+        pieces = placed.select("source", "text", "start").mapInArrow(cut, "source string, block bigint, at int, tokens array<int>")
+        whole = pieces.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("at", "tokens"))).alias("p"))
+        return whole.select("source", "block", F.flatten(F.col("p.tokens")).alias("tokens"))
+
+    def tokens(self) -> DataFrame:
+        """The mixture itself, to train on: ``shard``, ``position``, ``source``, ``block``, ``use_no`` and the block's ``tokens``."""
+        return self.slots().join(self.blocks().hint("merge"), ["source", "block"]).select("shard", "position", "source", "block", "use_no", "tokens")
 
     def rows(self) -> DataFrame:
-        """The mixture itself: each slot's pieces of documents in order.
+        """Where the mixture's tokens come from: each slot's pieces of documents.
 
         ``shard``, ``position``, ``source``, ``block``, ``use_no``, ``doc_id``,
         ``token_from``, ``token_to``.
@@ -249,5 +291,5 @@ class Mixture:
         plan = self.spark.createDataFrame([(s.name, s.share, s.repeats, s.tokens, s.short) for s in self.sources], "source string, target_share double, max_repeats int, tokens bigint, short boolean")
         got = self.used().groupBy("source").agg(F.sum(F.col("uses") * (F.col("token_to") - F.col("token_from"))).alias("tokens_used"))
         every = plan.join(got, "source", "left").withColumn("tokens_used", F.coalesce("tokens_used", F.lit(0)))
-        total = F.sum("tokens_used").over(Window.partitionBy(F.lit(1)))  # over a row a source
-        return every.withColumn("_total", total).withColumn("share", F.when(F.col("_total") > 0, F.col("tokens_used") / F.col("_total")).otherwise(F.lit(0.0))).select("source", "target_share", "max_repeats", "tokens", "tokens_used", "share", "short")
+        total = got.agg(F.coalesce(F.sum("tokens_used"), F.lit(0))).scalar()
+        return every.select("source", "target_share", "max_repeats", "tokens", "tokens_used", F.when(total > 0, F.col("tokens_used") / total).otherwise(F.lit(0.0)).alias("share"), "short")

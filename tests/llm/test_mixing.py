@@ -19,11 +19,14 @@ def test_permutations_are_permutations(n):
         assert mixing.permute(np.arange(n), n, 1).tolist() != mixing.permute(np.arange(n), n, 2).tolist()
 
 
-def test_draws_meet_every_total():
-    sources = [mixing.Source(f"s{k}", 0.1, 1, 0, n, n) for k, n in enumerate([1000, 3, 0, 250])]
-    got = mixing.draw_shards(sources, 16, 5)
+@pytest.mark.parametrize("shards", [1, 16, 37])
+def test_draws_meet_every_total(shards):
+    slots = np.array([1000, 3, 0, 250])
+    each = [mixing.shard_counts(slots, shards, k, 5) for k in range(shards)]
+    got = np.array([c for c, _ in each])
     assert got.sum(0).tolist() == [1000, 3, 0, 250] and got.sum(1).max() - got.sum(1).min() <= 1 and (got >= 0).all()
-    assert (got == mixing.draw_shards(sources, 16, 5)).all() and got[:, 0].std() > 0
+    assert all((before == got[:k].sum(0)).all() for k, (_, before) in enumerate(each))
+    assert shards == 1 or got[:, 0].std() > 0
 
 
 def test_allotment():
@@ -84,3 +87,27 @@ def test_empty_tables(spark):
     for m in (mixing.Mixture(docs.limit(0), targets), mixing.Mixture(docs, targets.limit(0))):
         assert m.rows().count() == m.documents().count() == 0
     assert mixing.Mixture(docs.limit(0), targets).shares().count() == 3
+
+
+def test_blocks_hold_the_tokens_of_their_documents(spark):
+    docs, targets = frames(spark)
+    docs = docs.unionByName(docs.where("doc_id = 900")).unionByName(docs.where("doc_id < 3"))  # rows repeated exactly
+    m = mixing.Mixture(docs, targets, block=16)
+    encode = mixing.tokenizing.encoder().encode_ordinary
+    texts = {r.doc_id: encode(r.text) for r in docs.where("text is not null").select("doc_id", "text").collect()}
+    want = Counter()
+    for r in m.pieces().collect():
+        want.update((r.source, r.block, t) for t in texts[r.doc_id][r.token_from:r.token_to])
+    blocks = {(r.source, r.block): r.tokens for r in m.blocks().collect()}
+    assert Counter((s, b, t) for (s, b), ts in blocks.items() for t in ts) == want
+    rows = m.tokens().collect()
+    assert len(rows) == sum(s.slots for s in m.sources) and all(r.tokens == blocks[r.source, r.block] for r in rows)
+    assert sum(len(r.tokens) for r in rows) == sum(r.tokens_used for r in m.shares().collect())
+
+
+def test_blocks_keep_the_order_of_their_tokens(spark):
+    docs = spark.createDataFrame([(k, "big", " ".join(f"{k} {i}" for i in range(40))) for k in range(20)], DOC)
+    m = mixing.Mixture(docs, spark.createDataFrame([("big", 1.0, 1)], TARGET), block=16)
+    stream = sum((list(r.tokens) for r in m.blocks().orderBy("block").collect()), [])
+    want = sum((mixing.tokenizing.encoder().encode_ordinary(r.text) for r in m.streams().join(docs.select("doc_id", "text"), "doc_id").orderBy("start").collect()), [])
+    assert stream == want
