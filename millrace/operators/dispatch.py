@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the message format.
@@ -42,27 +45,116 @@ def plane_distance(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -
     return F.sqrt(F.pow(lat_a - lat_b, F.lit(2)) + F.pow(lon_a - lon_b, F.lit(2)))
 
 
-def best_drivers(requests: DataFrame, drivers: DataFrame, on: str) -> DataFrame:
+BEYOND = 0.5  # most that distance and gender add to a driver's score
+
+
+def best_drivers(requests: DataFrame, drivers: DataFrame, on: str, most_requests: int = 500_000, most_drivers: int = 200_000) -> DataFrame:
     """For every request the best driver of the same ``on``: ``request``, ``driver``, ``score``.
 
     Drivers under a salary of 100 come first, then greater scores, then smaller
-    drivers.  The pairs of a key are formed; keep keys small or use the replay.
+    drivers.  Drivers without a position, rating or salary match nobody, those
+    without a gender fit requests that ask for none; requests without a position
+    or ``on`` get no driver.
+
+    No pair is formed.  Of a key's drivers only those are kept that can win:
+    under a salary of 100 if any is, and with a rating and salary worth at most
+    ``BEYOND`` less than the best one's.  Keys of many requests or drivers are
+    shared out in parts of ``most_requests`` and ``most_drivers``, every part of
+    the one meeting every part of the other; in a task drivers lie in order of
+    what rating and salary are worth, and requests stop looking where the rest
+    cannot beat what they have.  A request's best of all parts is its result.
     """
-    pairs = requests.join(drivers, on)
-    fits = (F.col("preference") == "N") | (F.col("preference") == F.col("gender"))
-    score = match_score(plane_distance(F.col("lat"), F.col("lon"), F.col("driver_lat"), F.col("driver_lon")), fits, F.col("rating"), F.col("salary"))
-    best = Window.partitionBy("request").orderBy(F.desc(F.col("salary") < 100), F.desc("score"), "driver")
-    return pairs.withColumn("score", score).withColumn("_r", F.row_number().over(best)).where("_r = 1").select("request", "driver", "score")
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    worth = F.lit(0.3) * F.col("rating") / 5 + F.lit(0.2) * (1 - F.col("salary") / 100)
+    able = drivers.where(F.col(on).isNotNull() & F.col("driver").isNotNull()).select(
+        F.col(on).alias("area"), F.col("driver").cast("bigint").alias("id"), F.col("driver_lat").cast("double").alias("lat"), F.col("driver_lon").cast("double").alias("lon"), F.coalesce("gender", F.lit("")).alias("gender"),
+        F.col("rating").cast("double").alias("rating"), F.col("salary").cast("double").alias("salary"), worth.cast("double").alias("worth")).where("lat IS NOT NULL AND lon IS NOT NULL AND worth IS NOT NULL")
+    asked = requests.where(F.col(on).isNotNull() & F.col("request").isNotNull()).select(
+        F.col(on).alias("area"), F.col("request").cast("bigint").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.coalesce("preference", F.lit("-")).alias("gender")).where("lat IS NOT NULL AND lon IS NOT NULL")
+    best = able.groupBy("area").agg(F.max(F.struct((F.col("salary") < 100).alias("cheap"), "worth")).alias("best"))
+    kept = able.join(best, "area").where(((F.col("salary") < 100) == F.col("best.cheap")) & (F.col("worth") >= F.col("best.worth") - BEYOND - 1e-9)).drop("best")
+    shares = asked.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / most_requests).cast("int").alias("r_of")).join(kept.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / most_drivers).cast("int").alias("d_of")), "area")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    none = F.lit(None).cast("double")
+    right = kept.join(shares, "area").withColumn("d", own("d_of")).withColumn("r", each("r_of")).select("area", "r", "d", F.lit(0).alias("kind"), (-F.col("worth")).alias("rank"), "id", "lat", "lon", "gender", "rating", "salary")
+    left = asked.join(shares, "area").withColumn("r", own("r_of")).withColumn("d", each("d_of")).select("area", "r", "d", F.lit(1).alias("kind"), F.lit(0.0).alias("rank"), "id", "lat", "lon", "gender", none.alias("rating"), none.alias("salary"))
+    met = left.unionByName(right).repartition(parts, "area", "r", "d").sortWithinPartitions("area", "r", "d", "kind", "rank", "id")
+    found = met.mapInArrow(_meet, "request bigint, cheap boolean, score double, driver bigint")
+    top = found.groupBy("request").agg(F.max(F.struct("cheap", "score", (-F.col("driver")).alias("last"))).alias("t"))
+    return top.select("request", (-F.col("t.last")).alias("driver"), F.col("t.score").alias("score"))
+
+
+def _meet(batches: Iterator[pa.RecordBatch], chunk: int = 256) -> Iterator[pa.RecordBatch]:
+    """The best driver of each request, from rows in order of (area, parts, drivers before requests, falling worth)."""
+    here, held, cols = None, [], None
+    for b in batches:
+        keys = [b.column(c).to_numpy(zero_copy_only=False) for c in ("area", "r", "d", "kind")]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for a, z in zip([0, *change.tolist()], [*change.tolist(), b.num_rows]):
+            run = b.slice(a, z - a)
+            if (place := tuple(k[a] for k in keys[:3])) != here:
+                here, held, cols = place, [], None
+            if keys[3][a] == 0:
+                held.append(run)
+            elif held:
+                if cols is None:
+                    whole = pa.Table.from_batches(held)
+                    cols = {c: whole.column(c).to_numpy() for c in ("rank", "id", "lat", "lon", "gender", "rating", "salary")}
+                yield _best_of(cols, run, chunk)
+
+
+def _best_of(d: dict[str, np.ndarray], run: pa.RecordBatch, chunk: int) -> pa.RecordBatch:
+    ids, lat, lon, wish = (run.column(c).to_numpy(zero_copy_only=False) for c in ("id", "lat", "lon", "gender"))
+    score, who = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+    for at in range(0, len(d["id"]), chunk):
+        open_ = np.flatnonzero(score <= BEYOND + 1e-9 - d["rank"][at])  # rank is the worth with its sign turned
+        if not len(open_):
+            break
+        c = slice(at, at + chunk)
+        for part in np.array_split(open_, max(len(open_) // 4_096, 1)):
+            apart = np.sqrt((lat[part, None] - d["lat"][c]) ** 2 + (lon[part, None] - d["lon"][c]) ** 2)
+            fits = (wish[part, None] == "N") | (wish[part, None] == d["gender"][c])
+            got = 0.4 * np.exp(-apart) + 0.1 * fits + 0.3 * d["rating"][c] / 5 + 0.2 * (1 - d["salary"][c] / 100)
+            top = got.max(axis=1)
+            first = np.where(got == top[:, None], d["id"][c], np.iinfo(np.int64).max).min(axis=1)
+            better = (top > score[part]) | ((top == score[part]) & (first < who[part]))
+            score[part[better]], who[part[better]] = top[better], first[better]
+    cheap = bool(d["salary"][0] < 100)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), cheap)), pa.array(score), pa.array(who)], names=["request", "cheap", "score", "driver"])
 
 
 @dataclass
 class Pool:
-    """The drivers of one block.  Messages must come in order."""
+    """The drivers of one block.  Messages must come in order.
+
+    Available drivers lie in order of salary class and of what rating and salary
+    are worth, so that a request looks no further than its best can be beaten.
+    """
 
     readmit: bool = False
     drivers: dict[int, dict] = field(default_factory=dict)
     gone: dict[int, dict] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self._order = sorted(self._place(who, d) for who, d in self.drivers.items() if d["status"] == AVAILABLE)
+
+    @staticmethod
+    def _place(who: int, d: dict) -> tuple[bool, float, int]:
+        return d["salary"] >= 100, -(0.3 * d["rating"] / 5 + 0.2 * (1 - d["salary"] / 100)), who
+
+    def _put(self, who: int, d: dict) -> None:
+        self._take(who)
+        self.drivers[who] = d
+        if d["status"] == AVAILABLE:
+            insort(self._order, self._place(who, d))
+
+    def _take(self, who: int) -> dict | None:
+        d = self.drivers.pop(who, None)
+        if d is not None and d["status"] == AVAILABLE:
+            del self._order[bisect_left(self._order, self._place(who, d))]
+        return d
+
     def handle(self, m: dict) -> tuple[int, int] | None:
         """Take one message; a matched ride request gives (driver, client)."""
         kind, who = m["msg_type"], m["driver_id"]
@@ -72,38 +164,41 @@ class Pool:
             return None
         if kind == "ENTERING_BLOCK":
             if all(m[c] is not None for c in NEEDED):
-                self.drivers[who] = {c: m[c] for c in NEEDED}
+                self._put(who, {c: m[c] for c in NEEDED})
         elif kind == "LEAVING_BLOCK":
-            self.drivers.pop(who, None)
+            self._take(who)
         elif kind == LOCATION and who in self.drivers:
             self.drivers[who] |= {"latitude": m["latitude"], "longitude": m["longitude"]}
         elif kind == "RIDE_COMPLETE":
             if self.readmit and who in self.gone:
-                self.drivers[who] = self.gone.pop(who)
+                self._put(who, self.gone.pop(who))
             d = self.drivers.get(who)
             if d is not None and m["rating"] is not None and m["user_rating"] is not None and m["salary"] is not None:
-                d |= {"status": AVAILABLE, "salary": m["salary"] + 1, "rating": (m["rating"] + m["user_rating"]) / 2, "latitude": m["latitude"], "longitude": m["longitude"], "gender": m["gender"]}
+                self._put(who, d | {"status": AVAILABLE, "salary": m["salary"] + 1, "rating": (m["rating"] + m["user_rating"]) / 2, "latitude": m["latitude"], "longitude": m["longitude"], "gender": m["gender"]})
         return None
 
     def _match(self, m: dict) -> tuple[int, int] | None:
         if m["client_id"] is None or m["latitude"] is None or m["longitude"] is None:
             return None
         best = None
-        for who, d in self.drivers.items():
-            if d["status"] != AVAILABLE or any(d[c] is None for c in NEEDED):
+        for dear, turned, who in self._order:
+            if best is not None and (dear > best[0] or turned - BEYOND - 1e-9 > best[1]):
+                break  # neither this driver nor one behind it can be better
+            d = self.drivers[who]
+            if any(d[c] is None for c in NEEDED):
                 continue
             dist = math.hypot(d["latitude"] - m["latitude"], d["longitude"] - m["longitude"])
             fits = m["gender_preference"] in ("N", d["gender"])
             score = 0.4 * math.exp(-dist) + 0.1 * fits + 0.3 * d["rating"] / 5 + 0.2 * (1 - d["salary"] / 100)
-            rank = (d["salary"] < 100, score, -who)
-            if best is None or rank > best[0]:
-                best = (rank, who)
+            rank = (dear, -score, who)
+            if best is None or rank < best:
+                best = rank
         if best is None:
             return None
-        gone = self.drivers.pop(best[1])
+        gone = self._take(best[2])
         if self.readmit:
-            self.gone[best[1]] = gone
-        return best[1], m["client_id"]
+            self.gone[best[2]] = gone
+        return best[2], m["client_id"]
 
 
 def python_rows(pdf: pd.DataFrame) -> Iterator[dict]:

@@ -188,6 +188,60 @@ def test_best_drivers(spark):
     assert sorted((r.request, r.driver) for r in dispatch.best_drivers(req, drv, "area").collect()) == [(1, 2), (2, 4)]
 
 
+def plain_best(requests, drivers):
+    """The best driver of each request over all pairs of an area."""
+    out = {}
+    for q, area, lat, lon, wish in requests:
+        ranked = []
+        for w, home, y, x, gender, rating, salary in drivers:
+            if home == area and None not in (area, lat, lon, y, x, rating, salary):
+                score = 0.4 * math.exp(-math.sqrt((lat - y) ** 2 + (lon - x) ** 2)) + 0.1 * (wish == "N" or (wish is not None and wish == gender)) + 0.3 * rating / 5 + 0.2 * (1 - salary / 100)
+                ranked.append((salary >= 100, -round(score, 12), w))
+        if ranked:
+            out[q] = min(ranked)[2]
+    return out
+
+
+@pytest.mark.parametrize("most", [10**6, 7])
+def test_best_drivers_are_those_of_all_pairs(spark, most):
+    rng = random.Random(most)
+    place = lambda: rng.choice([rng.uniform(0, 3), 1.0])
+    requests = [(i, rng.choice([1, 1, 1, 2, 3, None]), place(), rng.choice([place(), place(), None]), rng.choice(["N", "F", "M", None])) for i in range(120)]
+    drivers = [(1000 + i, rng.choice([1, 1, 2, 4]), place(), rng.choice([place(), place(), None]), rng.choice(["F", "M", None]), rng.choice([1.0, 3.5, 5.0, None]), rng.choice([0.0, 50.0, 99.0, 100.0, 140.0])) for i in range(90)]
+    drivers += [(5000 + i, 3, 1.0, 1.0, "F", 4.0, 120.0) for i in range(5)]  # equal ones, none under 100
+    req = spark.createDataFrame(requests, "request int, area int, lat double, lon double, preference string").withColumn("rank", F.lit("x"))
+    drv = spark.createDataFrame(drivers, "driver int, area int, driver_lat double, driver_lon double, gender string, rating double, salary double").withColumn("kind", F.lit(1))
+    got = {r.request: r.driver for r in dispatch.best_drivers(req, drv, "area", most, most).collect()}
+    assert got == plain_best(requests, drivers)
+    assert dispatch.best_drivers(req.limit(0), drv, "area").count() == dispatch.best_drivers(req, drv.limit(0), "area").count() == 0
+
+
+def test_pools_match_as_a_look_at_all_drivers_would(spark):
+    rng = random.Random(4)
+    pool, all_of, n = dispatch.Pool(), {}, 0
+    for _ in range(4_000):
+        kind, who = rng.choice(["ENTERING_BLOCK", "ENTERING_BLOCK", "DRIVER_LOCATION", "LEAVING_BLOCK", "RIDE_COMPLETE", "RIDE_REQUEST"]), rng.randrange(60)
+        m = {"msg_type": kind, "driver_id": who, "block_id": 1, "client_id": 7, "latitude": rng.choice([rng.uniform(0, 2), None if kind == "DRIVER_LOCATION" else 1.0]), "longitude": 0.5, "rating": rng.choice([1.0, 4.0, 5.0]), "user_rating": 3.0,
+             "salary": rng.choice([0, 60, 99, 100, 150]), "gender": rng.choice("FM"), "gender_preference": rng.choice("NFM"), "status": rng.choice(["AVAILABLE", "AVAILABLE", "BUSY"])}
+        if kind == "RIDE_REQUEST":
+            free = [(w, 1, d["latitude"], d["longitude"], d["gender"], d["rating"], d["salary"]) for w, d in all_of.items() if d["status"] == "AVAILABLE"]
+            want = plain_best([(0, 1, m["latitude"], m["longitude"], m["gender_preference"])], free).get(0)
+            assert pool.handle(m) == ((want, 7) if want is not None else None)
+            all_of.pop(want, None)
+            n += want is not None
+            continue
+        assert pool.handle(m) is None
+        if kind == "ENTERING_BLOCK":
+            all_of[who] = {c: m[c] for c in dispatch.NEEDED}
+        elif kind == "LEAVING_BLOCK":
+            all_of.pop(who, None)
+        elif who in all_of and kind == "DRIVER_LOCATION":
+            all_of[who] |= {c: m[c] for c in ("latitude", "longitude")}
+        elif who in all_of:
+            all_of[who] |= {"status": "AVAILABLE", "salary": m["salary"] + 1, "rating": (m["rating"] + 3.0) / 2, **{c: m[c] for c in ("latitude", "longitude", "gender")}}
+    assert n > 300
+
+
 def test_stream_equals_replay_across_restarts(spark, tmp_path):
     rng = random.Random(5)
     rows = []
