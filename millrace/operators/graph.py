@@ -14,6 +14,12 @@ def follower_top(edges: DataFrame, n: int = 100) -> DataFrame:
     return counts.orderBy(F.desc("count"), "followee").limit(n)
 
 
+def follower_top_sql(edges: DataFrame, n: int = 100) -> DataFrame:
+    """:func:`follower_top` as SQL text over the edges, named by a parameter rather than a view of the session."""
+    text = "SELECT v AS followee, count(u) AS count FROM {edges} GROUP BY v ORDER BY count DESC, followee LIMIT {n}"
+    return edges.sparkSession.sql(text, edges=edges, n=n)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``node``, ``out_degree``, ``in_degree`` over distinct edges."""
     ends = edges.select("u", "v").distinct().select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("v").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))

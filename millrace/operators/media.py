@@ -16,6 +16,11 @@ def store_objects(events: DataFrame, value: str = "value") -> DataFrame:
     return body.select(F.explode(F.from_json("body", schemas.STORE_EVENT)["Records"]).alias("r")).select(F.col("r.s3.bucket.name").alias("bucket"), F.col("r.s3.object.key").alias("key")).where("key IS NOT NULL")
 
 
+def detected_labels(images: DataFrame) -> DataFrame:
+    """``images`` with the column ``labels`` a vision service would fill; it is none of this engine's, so the array is empty."""
+    return images.withColumn("labels", F.array().cast("array<string>"))
+
+
 def label_documents(labels: DataFrame, key: str, names: Column) -> DataFrame:
     """One document a key for the search index: ``id``, ``type``, ``fields``; the id is the key without its extension."""
     return labels.select(without_extension(F.col(key)).alias("id"), F.lit("add").alias("type"), F.struct(F.col(key).cast("string").alias("key"), names.alias("labels")).alias("fields"))

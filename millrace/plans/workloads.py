@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
 from millrace.functions import qr, text
 from millrace.operators import alarms, dispatch, graph, media, ngrams, pageviews, tweets
 from millrace.operators.changes import current_rows
-from millrace.session import ensure_checkpoint_dir, spread
-from millrace.sources.tables import table
+from millrace.session import scratch_folder, spread
+from millrace.sources.tables import as_json, read_pageviews, table, write_pageviews
 from millrace.streaming import matching
 
 BANNED = ("broken", "stale", "noisy")
@@ -30,6 +29,26 @@ def pageview_clean(spark, root):
     return _views(spark, root)
 
 
+def pageview_files(spark, root):
+    """Page views by way of hourly gzip files, the day from a file's name."""
+    folder = scratch_folder(spark, "pageviews")
+    write_pageviews(pageviews.note_lines(table(spark, root, "documents")), folder, "201803")
+    return pageviews.clean_views(read_pageviews(spark, folder))
+
+
+def namespace_names(spark, root):
+    """Prefixes from documents of namespaces, one a nation."""
+    entry = lambda k, n: F.struct(F.lit(k).alias("k"), F.create_map(F.lit("*"), n).alias("v"))
+    names = F.map_from_entries(F.array(entry("0", F.lit("")), entry("1", F.concat(F.col("n_name"), F.lit(" talk"))), entry("2", F.col("n_name"))))
+    doc = F.to_json(F.struct(F.struct(names.alias("namespaces")).alias("query"))).alias("value")
+    return pageviews.namespace_prefixes(table(spark, root, "nation").select(doc))
+
+
+def order_prices(spark, root):
+    """Prices as text of two decimals."""
+    return table(spark, root, "orders").select("o_orderkey", text.two_places(F.col("o_totalprice")).alias("price"))
+
+
 def title_counts(spark, root):
     return pageviews.ordered_counts(_views(spark, root))
 
@@ -71,6 +90,14 @@ def follower_topk(spark, root):
     return graph.follower_top(table(spark, root, "lineitem").select(F.col("l_orderkey").alias("u"), F.col("l_partkey").alias("v")))
 
 
+def follower_topk_sql(spark, root):
+    return graph.follower_top_sql(table(spark, root, "lineitem").select(F.col("l_orderkey").alias("u"), F.col("l_partkey").alias("v")))
+
+
+def adjacency_lists(spark, root):
+    return graph.adjacency(_supply(spark, root))
+
+
 def _supply(spark, root):
     """Parts to suppliers, and suppliers to nations, so that nations are dangling."""
     p, s = table(spark, root, "lineitem"), table(spark, root, "supplier")
@@ -102,8 +129,8 @@ def hashtag_entries(spark, root):
 def hashtag_recommend(spark, root):
     """For the ten keywords with most rows, and the user of the first tweet."""
     q2 = table(spark, root, "q2")
-    keys = [r["keyword"] for r in q2.where("keyword IS NOT NULL").groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "keyword").limit(tweets.MOST_KEYWORDS).collect()]
-    user = table(spark, root, "q4").agg(F.min("uuid")).first()[0]
+    keys = q2.where("keyword IS NOT NULL").groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "keyword").limit(tweets.MOST_KEYWORDS)
+    user = table(spark, root, "q4").agg(F.min("uuid")).scalar()
     return tweets.recommend_hashtags(tweets.tag_rows(q2), keys, user, 50)
 
 
@@ -121,6 +148,31 @@ def topic_tweets(spark, root):
     return tweets.tweets_with(t, tweets.topic_words(t, 20), 50)
 
 
+def _stored(spark, root):
+    """Tweets of q4 as the store holds them; their time is that of the crawl."""
+    t = current_rows(table(spark, root, "q4")).where("text IS NOT NULL AND uuid IS NOT NULL")
+    shown = t.select("uuid", F.col("tweetid").alias("tid"), F.unix_seconds(F.col("crawled_at").cast("timestamp")).alias("ts"), F.lower("text").alias("tw"), F.col("text").alias("ct"), tweets.engagement().alias("impact"))
+    return tweets.pack_arrays(shown)
+
+
+USERS, TIMES = (1_000_000, 10_700_000), (1_520_000_000, 1_521_900_000)
+
+
+def topic_range(spark, root):
+    """Topic words of the tweets of some users within some time, from stored rows."""
+    return tweets.stored_topics(_stored(spark, root), USERS, TIMES, 20).select("word", F.round("score", 4).alias("score"))
+
+
+def stored_arrays(spark, root):
+    """Stored rows taken apart again."""
+    return tweets.unpack_arrays(_stored(spark, root)).select("uuid", "tid", "ts", "tw", "ct", F.col("nw").cast("bigint").alias("nw"), "impact")
+
+
+def json_tweets(spark, root):
+    t = current_rows(table(spark, root, "q4"))
+    return as_json(t.select("tweetid", "uuid", "text", "favorite_count"))
+
+
 def censor_words(spark, root):
     t = current_rows(table(spark, root, "q4")).where("text IS NOT NULL").select(F.col("tweetid").alias("tweet"), "text")
     return tweets.censored(t, BANNED)
@@ -179,13 +231,19 @@ def metric_alarm(spark, root):
     return out.select("name", F.date_format("start", "yyyy-MM-dd").alias("day"), "rule", "change")
 
 
-def _labels(spark, root):
-    d = table(spark, root, "documents").where("source = 'label_captions' AND text IS NOT NULL")
-    return media.label_index(d, "doc_id", F.split("text", ", ", -1))
+def _captions(spark, root):
+    """Caption documents, however their source is spelt, and their labels between commas of either kind."""
+    d = table(spark, root, "documents").where("lower(trim(source)) = 'label_captions' AND text IS NOT NULL")
+    return d.select("doc_id", F.split("text", ", |、", -1).alias("names"))
 
 
 def label_index(spark, root):
-    return _labels(spark, root)
+    return media.label_index(_captions(spark, root), "doc_id", F.col("names"))
+
+
+def label_documents(spark, root):
+    c = _captions(spark, root).select(F.concat(F.lit("captions/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("key"), "names")
+    return media.label_documents(c, "key", F.col("names")).select("id", "type", F.col("fields.key").alias("key"), F.size("fields.labels").alias("labels"), F.element_at("fields.labels", 1).alias("first_label"))
 
 
 def frame_sample(spark, root):
@@ -214,7 +272,7 @@ def _stream(spark, root, name):
 
 
 def _base(spark):
-    return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return scratch_folder(spark, "stream")
 
 
 def _run(spark, df, run=matching.run_to_table, base=None):
@@ -248,13 +306,13 @@ def stream_matches(spark, root):
 
 def stream_window_counts(spark, root):
     counts = matching.window_counts(_stream(spark, root, "events"), "ts", "event_type", "value", "1 day", late=None)
-    return _run(spark, counts, matching.run_whole)
+    return _run(spark, counts, matching.run_whole).withColumn("total", F.round("total", 4))
 
 
 QUERIES = {f.__name__: f for f in (
-    word_count, pageview_clean, title_counts, daily_vector_30, ngram_count, ngram_count_wiki, next_word_topn, phrase_completion, ref_texts, follower_topk, degree_stats, dangling_nodes, source_nodes, pagerank,
-    hashtag_entries, hashtag_recommend, topic_words, topic_tweets, censor_words, tweet_range_topn, match_score_topk, partition_route, dead_letters, dispatch_replay, safe_int, percent_decode, java_hash, json_props,
-    metric_alarm, label_index, frame_sample, qr_roundtrip, qr_codes, stream_matches, stream_window_counts,
+    word_count, pageview_clean, pageview_files, namespace_names, order_prices, title_counts, daily_vector_30, ngram_count, ngram_count_wiki, next_word_topn, phrase_completion, ref_texts, follower_topk, follower_topk_sql, adjacency_lists, degree_stats, dangling_nodes, source_nodes, pagerank,
+    hashtag_entries, hashtag_recommend, topic_words, topic_tweets, topic_range, stored_arrays, json_tweets, censor_words, tweet_range_topn, match_score_topk, partition_route, dead_letters, dispatch_replay, safe_int, percent_decode, java_hash, json_props,
+    metric_alarm, label_index, label_documents, frame_sample, qr_roundtrip, qr_codes, stream_matches, stream_window_counts,
 )}
 
 _VIEWS = f"""
@@ -300,6 +358,9 @@ _LISTS = """
 z AS (SELECT row_no, keyword, string_split(regexp_replace(hashtags, ',+$', ''), ',') AS t, string_split(regexp_replace(counts, ',+$', ''), ',') AS c, coalesce(string_split(users, ':'), []) AS u FROM q2),
 e AS (SELECT row_no, keyword, t[i] AS tag, TRY_CAST(c[i] AS BIGINT) AS n, CASE WHEN coalesce(u[i], '') <> '' THEN string_split(u[i], ',') ELSE [] END AS users FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM z WHERE len(t) = len(c)))"""
 
+_CAPTIONS = "captions AS (SELECT doc_id, string_split_regex(text, ', |、') AS names FROM documents WHERE lower(trim(source)) = 'label_captions' AND text IS NOT NULL)"
+_RANGE = f"WHERE text IS NOT NULL AND uuid BETWEEN {USERS[0]} AND {USERS[1]} AND floor(epoch(crawled_at)) BETWEEN {TIMES[0]} AND {TIMES[1]}"
+
 ORACLE = {
     "word_count": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[ \\t\\n\\r\\f]+')) AS word FROM documents) WHERE word <> '' GROUP BY word",
     "pageview_clean": f"WITH {_VIEWS} SELECT title, day, views FROM v",
@@ -335,7 +396,17 @@ SELECT request, driver, round(score, 6) AS score FROM p QUALIFY row_number() OVE
     "java_hash": "WITH u AS (SELECT DISTINCT uuid FROM q4_actions WHERE uuid IS NOT NULL), h AS (SELECT uuid, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(uuid, ''), lambda x: ord(x)::BIGINT)), lambda a, b: (a * 31 + b) & 4294967295) AS h FROM u) SELECT uuid, CAST(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INTEGER) AS hash, CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END % 7) AS INTEGER) AS shard FROM h",
     "json_props": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS k_sum, max(k) AS k_max FROM (SELECT event_type, CAST(props ->> '$.k' AS INTEGER) AS k FROM events) GROUP BY event_type",
     "metric_alarm": "WITH st AS (SELECT event_type AS name, date_trunc('day', ts) AS start, avg(value) AS avg, max(value) AS max FROM events WHERE value IS NOT NULL GROUP BY ALL) " + " UNION ALL ".join(_ALARM.format(name=r.name, change=r.change, stat=r.statistic, op=">" if r.above else "<", thr=r.threshold, before=r.periods - 1, n=r.periods) for r in RULES),
-    "label_index": "SELECT label, count(*) AS keys, min(doc_id) AS first_key, max(doc_id) AS last_key FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ', ')) AS label FROM documents WHERE source = 'label_captions') WHERE label <> '' GROUP BY label",
+    "label_index": f"WITH {_CAPTIONS} SELECT label, count(*) AS keys, min(doc_id) AS first_key, max(doc_id) AS last_key FROM (SELECT DISTINCT doc_id, unnest(names) AS label FROM captions) WHERE label <> '' GROUP BY label",
+    "label_documents": f"WITH {_CAPTIONS} SELECT 'captions/' || doc_id AS id, 'add' AS type, 'captions/' || doc_id || '.jpg' AS key, CAST(len(names) AS INTEGER) AS labels, names[1] AS first_label FROM captions",
+    "pageview_files": f"WITH {_VIEWS} SELECT title, day, views FROM v",
+    "namespace_names": "SELECT DISTINCT unnest([replace(lower(n_name), ' ', '_') || ':', replace(lower(n_name), ' ', '_') || '_talk:']) AS prefix FROM nation",
+    "order_prices": "SELECT o_orderkey, format('{:.2f}', o_totalprice) AS price FROM orders",
+    "follower_topk_sql": "SELECT l_partkey AS followee, count(l_orderkey) AS count FROM lineitem GROUP BY l_partkey ORDER BY count DESC, followee LIMIT 100",
+    "adjacency_lists": f"WITH {_SUPPLY} SELECT u AS node, list_sort(list(v)) AS follows FROM edges GROUP BY u",
+    "json_tweets": f"WITH {_TWEETS} SELECT CAST(to_json({{'tweetid': tweetid, 'uuid': uuid, 'text': text, 'favorite_count': favorite_count}}) AS VARCHAR) AS value FROM base",
+    "stored_arrays": f"WITH {_TWEETS} SELECT uuid, tweetid AS tid, CAST(floor(epoch(crawled_at)) AS BIGINT) AS ts, lower(text) AS tw, text AS ct, len(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS nw, coalesce(favorite_count, 0) + coalesce(retweet_count, 0) AS impact FROM base WHERE text IS NOT NULL AND uuid IS NOT NULL",
+    "topic_range": f"WITH {_TOPICS.replace('WHERE text IS NOT NULL', _RANGE)} SELECT word, round(score, 4) AS score FROM top",
+    "stream_window_counts": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL",
     "frame_sample": "SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_id, event_type FROM events WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id, event_type) = 1",
     "qr_roundtrip": "SELECT c_custkey, c_name AS decoded FROM customer",
 }

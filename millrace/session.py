@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -52,6 +55,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the checkpoint folder for what a query writes and reads again; it is removed when the session's JVM ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -81,7 +94,9 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if getattr(sc, "_millrace_shipped", None) is None:
         package = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
+        folder = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = Path(folder) / "millrace.zip"
         with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
             for p in sorted(package.rglob("*.py")):
                 z.write(p, Path(package.name) / p.relative_to(package))

@@ -76,6 +76,37 @@ def jdbc_range(spark: SparkSession, url: str, name: str, column: str, low: int,
     return reader.load().where(F.col(column).between(low, high))
 
 
+def as_json(df: DataFrame) -> DataFrame:
+    """Each row as one JSON object, nulls kept: ``value``."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_pageviews(rows: DataFrame, root: str, month: str, day: str = "day", line: str = "line") -> None:
+    """Lines as gzip files ``root``/pageviews-YYYYMMDD-HHMMSS.gz, the day from a column; ``month`` is YYYYMM.
+
+    Each task writes a file a day it has lines of, with its own number for the
+    time; rows with a null day or line are left out.  A retried task writes its
+    files anew.
+    """
+    def put(part) -> None:
+        import gzip
+        import itertools
+
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + ("/" + root[5:].lstrip("/") if root.startswith("file:") else root))
+        store.create_dir(base, recursive=True)
+        for d, some in itertools.groupby(part, key=lambda r: r["d"]):
+            name = f"{base}/pageviews-{month}{d:02d}-{TaskContext.get().partitionId():06d}.gz"
+            with store.open_output_stream(name, compression=None) as raw, gzip.GzipFile(fileobj=raw, mode="wb", filename="", mtime=0) as out:
+                for r in some:
+                    out.write((r["l"] + "\n").encode())
+
+    lines = rows.select(F.col(day).alias("d"), F.col(line).alias("l")).where("d IS NOT NULL AND l IS NOT NULL")
+    lines.sortWithinPartitions("d").foreachPartition(put)
+
+
 def as_lines(df: DataFrame, sep: str = "\t") -> DataFrame:
     """Each row as one line of text, columns in order parted by ``sep``, nulls empty: ``value``."""
     return df.select(F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
@@ -96,7 +127,7 @@ def write_objects(df: DataFrame, root: str, key: str = "key", content: str = "co
                 continue
             path = f"{base}/{r[key]}"
             store.create_dir(path.rpartition("/")[0], recursive=True)
-            with store.open_output_stream(path) as out:
+            with store.open_output_stream(path, compression=None) as out:  # a name that ends in .gz says nothing about the content
                 out.write(bytes(r[content]))
 
     df.select(key, content).foreachPartition(put)
