@@ -155,8 +155,8 @@ class Cutting:
 class Range:
     """The tokens of a range: own ones begin in it, and up to a piece's length of the next ones follow."""
 
-    def __init__(self, data: bytes, at: int, range_no: int, size: int, how: Cutting):
-        """``data`` are the text's bytes from ``at`` on, those of :meth:`Cutting.window`."""
+    def __init__(self, data: bytes, at: int, range_no: int, size: int, how: Cutting, tokens: list[int] | None = None):
+        """``data`` are the text's bytes from ``at`` on, those of :meth:`Cutting.window`; ``tokens`` those of a whole text, if it was tokenized before."""
         encoding = tokenizing.encoder(how.tokenizer)
         self.data, self.at, self.how = data, at, how
         low, high = range_no * how.range_bytes, min((range_no + 1) * how.range_bytes, size)
@@ -165,8 +165,10 @@ class Range:
             skip += 1
         text = bytes(data[skip:]).decode("utf-8", "a-character-a-byte")
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        widths = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-        starts = at + skip + np.concatenate([[0], np.cumsum(widths)])
+        starts = np.arange(at + skip, at + skip + len(points) + 1)
+        if len(points) < len(data) - skip:
+            widths = (points >= 0x80).view(np.uint8) + (points >= 0x800) + (points >= 0x10000)
+            starts[1:] += np.cumsum(widths, dtype=np.int64)
         levels, safe = pauses(points)
         end = int(starts[-1])
         safe[0], safe[-1] = at == 0, end == size
@@ -176,7 +178,9 @@ class Range:
         grid = grid[known]
         alone = np.searchsorted(bounds, grid + how.halo, "right") == np.searchsorted(bounds, grid - how.halo, "left")
         forced = np.searchsorted(starts, grid[alone])  # the next character's start
-        cuts = np.union1d(np.flatnonzero(safe), forced)
+        cuts = np.flatnonzero(safe)
+        if len(forced):
+            cuts = np.union1d(cuts, forced)
         cut_at = starts[cuts]
 
         first = int(np.searchsorted(cut_at, low, "right")) - 1
@@ -185,14 +189,15 @@ class Range:
         lengths: list[np.ndarray] = []
         seen = np.int64(self.begin)
         token_bytes, ahead = _lengths(encoding), how.limit + 1
-        inner = np.unique(forced)
+        inner = np.unique(forced) if len(forced) else forced
         beyond, target = 0, high
         while place < len(points) and beyond < ahead:
             k = int(np.searchsorted(cut_at, target))
             upto = int(cuts[k]) if k < len(cuts) else len(points)
             some = inner[np.searchsorted(inner, place, "right"):np.searchsorted(inner, upto)]
             for x, y in zip([place, *some.tolist()], [*some.tolist(), upto]):
-                n = token_bytes[np.array(encoding.encode_ordinary(text[x:y]), np.int64)]
+                whole = tokens is not None and y - x == len(points)
+                n = token_bytes[np.array(tokens if whole else encoding.encode_ordinary(text[x:y]), np.int64)]
                 lengths.append(n)
                 beyond += int((seen + np.cumsum(n) - n >= high).sum())
                 seen += n.sum()
@@ -222,10 +227,13 @@ class Range:
         certain, letters = level >= IN_WORD, level >= SPLIT_RUN
         clean = certain & (begin >= IN_WORD)
         apart = begin >= SPLIT_RUN
-        any_half = np.select([letters & apart, letters], [2, 1], 0)
-        late = np.select([clean & (level >= WORD), clean, certain & apart], [6, 4, 3], any_half)
-        early = np.select([clean & (level >= WORD)], [5], any_half)
-        return (late * 8 + np.where(late > 0, level, 0)).astype(np.uint8), (early * 8 + np.where(early > 0, level, 0)).astype(np.uint8)
+        early = letters.view(np.uint8) + (letters & apart)
+        late = early.copy()
+        late[certain & apart] = 3
+        late[clean] = 4
+        clean &= level >= WORD
+        late[clean], early[clean] = 6, 5
+        return late * 8 + level * (late > 0), early * 8 + level * (early > 0)
 
     def end_of(self, s: int) -> int:
         """The token before which the piece that begins at token ``s`` ends: the best place in its room, the later of equals."""
@@ -309,10 +317,17 @@ def read_bytes(path: str, low: int, high: int) -> bytes:
 
 def _windows(b: pa.RecordBatch, how: Cutting, read: Reader | None) -> Iterator[tuple[int, int, Range]]:
     """(row, range, its tokens) of rows of ranges, whose bytes are a column or are read from a file."""
+    encode = tokenizing.encoder(how.tokenizer).encode_ordinary
     for k in range(b.num_rows):
         r, size = b.column("range_no")[k].as_py(), b.column("size")[k].as_py()
         low, high = how.window(r, size)
-        yield k, r, Range(read(b.column("path")[k].as_py(), low, high) if read else b.column("data")[k].as_buffer(), low, r, size, how)
+        data = read(b.column("path")[k].as_py(), low, high) if read else b.column("data")[k].as_buffer()
+        known = None
+        if size <= how.range_bytes:
+            known = encode(bytes(data).decode("utf-8", "a-character-a-byte"))
+            if len(known) <= how.limit and size <= 2 * how.halo:
+                continue  # not to be cut, and too short for an unbroken run that would be tokenized in parts
+        yield k, r, Range(data, low, r, size, how, known)
 
 
 def _emit(batches: Iterator[pa.RecordBatch], how: Cutting, key: str, read: Reader | None) -> Iterator[pa.RecordBatch]:
