@@ -335,3 +335,50 @@ def test_sources_and_sinks(spark, tmp_path):
     frame.collect()
     assert seen.get["rows"] == 2
     assert [r.x for r in spark.createDataFrame([(0.125,), (2.0,), (None,)], "x double").select(text.two_places(F.col("x")).alias("x")).collect()] == ["0.13", "2.00", None]
+
+
+def test_ranges_of_a_database_table(spark):
+    """Through Spark's own database, in memory."""
+    url, driver = "jdbc:derby:memory:millrace;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = [(k, k % 7, f"t{k}") for k in range(200)] + [(1000, None, None)]
+    try:
+        spark.createDataFrame(rows, "tweetid bigint, uuid bigint, body string").write.jdbc(url, "q4", "overwrite", {"driver": driver})
+    except Exception as e:  # a build of Spark without it
+        pytest.skip(str(e)[:80])
+    got = tables.jdbc_range(spark, url, "q4", "uuid", 2, 4, 3, driver=driver)
+    assert got.rdd.getNumPartitions() == 3 and "PushedFilters" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(r for r in rows if r[1] is not None and 2 <= r[1] <= 4)
+
+
+def test_stored_arrays_and_their_ranges(spark):
+    t = spark.createDataFrame([(1, 10, 100, "cat dog", "cat d*g", 3), (2, 11, 200, "cat bird", "cat bird", 0), (3, 12, 300, "cow", "cow", 9), (None, 13, 100, "ant", "ant", 1)], "uuid bigint, tid bigint, ts bigint, tw string, ct string, impact bigint")
+    stored = tweets.pack_arrays(t)
+    assert sorted((r.uuid or 0, r.tid, r.ts, r.tw, r.ct, r.nw, r.impact) for r in tweets.unpack_arrays(stored).collect()) == [(0, 13, 100, "ant", "ant", 1, 1), (1, 10, 100, "cat dog", "cat d*g", 2, 3), (2, 11, 200, "cat bird", "cat bird", 2, 0), (3, 12, 300, "cow", "cow", 1, 9)]
+    got = [(r.word, round(r.score, 6)) for r in tweets.stored_topics(stored, (1, 2), (100, 200), 5).collect()]
+    assert got == [("dog", 0.480453), ("bird", 0.0), ("cat", 0.0)]
+    assert tweets.stored_tweets(stored, (1, 3), (200, 300)).count() == 2 and tweets.stored_topics(stored, (7, 9), (0, 1), 5).count() == 0
+    for users, times in (((2, 1), (0, 1)), ((1, 2), (5, 4))):
+        with pytest.raises(ValueError):
+            tweets.stored_tweets(stored, users, times)
+
+
+def test_hourly_files_give_back_lines_and_days(spark, tmp_path):
+    rows = [("en A 1 0", 3), ("en B 2 0", 4), ("", 3), (None, 3), ("en C 3 0", None), ("en É 4 0", 31)]
+    tables.write_pageviews(spark.createDataFrame(rows, "line string, day int").repartition(3), str(tmp_path / "pv"), "201803")
+    assert sorted((r.day, r.line) for r in tables.read_pageviews(spark, str(tmp_path / "pv")).collect()) == [(3, ""), (3, "en A 1 0"), (4, "en B 2 0"), (31, "en É 4 0")]
+
+
+def test_rows_as_json_and_labels_without_a_model(spark):
+    df = spark.createDataFrame([(1, None, 'a "b"\n é')], "x int, y int, z string")
+    assert [json.loads(r.value) for r in tables.as_json(df).collect()] == [{"x": 1, "y": None, "z": 'a "b"\n é'}]
+    assert media.detected_labels(df).first().labels == []
+
+
+def test_keywords_are_few_or_a_frame(spark):
+    e = spark.createDataFrame([("k", "x", 5, ["1"]), ("l", "y", 6, None), ("m", "z", 9, ["1"])], "keyword string, tag string, n bigint, users array<string>")
+    with pytest.raises(ValueError):
+        tweets.recommend_hashtags(e, [str(k) for k in range(11)], 1, 3)
+    want = [("#x", 6), ("#y", 6)]
+    keys = spark.createDataFrame([("k",), ("l",)], "keyword string")
+    for given, who in ((["k", "l"], 1), (keys, keys.agg(F.lit(1)).scalar())):
+        assert [tuple(r) for r in tweets.recommend_hashtags(e, given, who, 3).collect()] == want
