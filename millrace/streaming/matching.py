@@ -33,19 +33,21 @@ class Matcher(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator[Row]:
         load = lambda state: {int(k[0]): json.loads(v[0]) for k, v in state.iterator()}
         pool = Pool(self.readmit, load(self.pool), load(self.gone))
-        before = {k: json.dumps(v) for k, v in pool.drivers.items()}, {k: json.dumps(v) for k, v in pool.gone.items()}
-        out = []
+        had = set(pool.drivers), set(pool.gone)
+        out, named = [], set()
         for r in sorted((r.asDict() for r in rows), key=lambda r: r["arrival_id"]):
+            named.add(r["driver_id"])
             got = pool.handle(r)
             if got:
+                named.add(got[0])
                 out.append(Row(block_id=int(key[0]), arrival_id=r["arrival_id"], driver_id=got[0], client_id=got[1]))
-        for state, old, new in ((self.pool, before[0], pool.drivers), (self.gone, before[1], pool.gone)):
-            for k in old.keys() - new.keys():
-                state.removeKey((str(k),))
-            for k, v in new.items():
-                text = json.dumps(v)
-                if old.get(k) != text:  # only what changed is written
-                    state.updateValue((str(k),), (text,))
+        # only drivers that a message or a match names can have changed
+        for state, old, new in ((self.pool, had[0], pool.drivers), (self.gone, had[1], pool.gone)):
+            for k in named - {None}:
+                if k in new:
+                    state.updateValue((str(k),), (json.dumps(new[k]),))
+                elif k in old:
+                    state.removeKey((str(k),))
         return iter(out)
 
     def close(self) -> None:
