@@ -147,23 +147,22 @@ def plan_cells(points: DataFrame, radius_m: float, n_cells: int) -> Cells:
     counts = sorted((r["line"], r["n"]) for r in points.groupBy(line.alias("line")).agg(F.count(F.lit(1)).alias("n")).collect())
     target = max(sum(n for _, n in counts) / n_cells, 1.0)
     bounds: list[float] = []
-    load, last, crowded = 0, None, {}  # strip: its line
-    for k, n in counts:
-        if last is not None and (load + n > target or last in crowded.values()):
+    load, closed, crowded = 0, False, {}  # strip: its line
+    for at, (k, n) in enumerate(counts):
+        if at and (load + n > target or closed):
             bounds.append(k * height - 90)
             load = 0
-        load, last = load + n, k
-        if n >= 3 * target:
+        load, closed = load + n, n >= 3 * target
+        if closed:
             crowded[len(bounds)] = k
     if not crowded:
         return Cells(bounds, {}, radius_m)
     # a step is as wide as the box of a point anywhere in the line
     edge = {strip: min(max(abs(k * height - 90), abs((k + 1) * height - 90)) + least, 90.0) for strip, k in crowded.items()}
     step = {strip: float(max(2 * reach_degrees(np.array([e]), radius_m)[1][0], 360 / 2**24)) for strip, e in edge.items()}
-    of_line = {k: strip for strip, k in crowded.items()}
-    named = F.create_map(*[F.lit(x) for k, strip in of_line.items() for x in (k, F.struct(F.lit(strip).alias("strip"), F.lit(step[strip]).alias("step")))])
-    some = points.select(named[line].alias("c"), "longitude").where("c IS NOT NULL")
-    slim = some.groupBy("c.strip", F.floor((F.col("longitude") + 180) / F.col("c.step")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    lines = points.sparkSession.createDataFrame([(k, strip, step[strip]) for strip, k in crowded.items()], "line bigint, strip int, step double")  # fewer than cells
+    some = points.select(line.alias("line"), "longitude").join(F.broadcast(lines), "line")
+    slim = some.groupBy("strip", F.floor((F.col("longitude") + 180) / F.col("step")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("strip").orderBy("at")) - F.col("n")
     parts = slim.withColumn("part", F.floor(before / F.lit(target))).groupBy("strip", "part").agg(F.min("at").alias("at"), F.sum("n").alias("n")).orderBy("strip", "part").collect()
     cuts: dict[int, list[float]] = {}
