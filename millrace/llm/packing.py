@@ -63,7 +63,7 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, limits: np.ndarray, capacity
     return out
 
 
-def solve(hist: dict[int, int], capacity: int, stages: int = 3, eta: float = 1.0, lean: float = 0.9, most_exact: int = 200) -> dict[Filling, int]:
+def solve(hist: dict[int, int], capacity: int, stages: int = 2, eta: float = 1.0, lean: float = 0.9, most_exact: int = 200) -> dict[Filling, int]:
     """The configuration program by multiplicative weights: {configuration: containers}, no size beyond its demand.
 
     A token of size s is priced 1 / capacity, a little more by the size's weight
@@ -81,7 +81,7 @@ def solve(hist: dict[int, int], capacity: int, stages: int = 3, eta: float = 1.0
         return {}
     demand = np.array([hist[int(k)] for k in sizes], np.int64)
     left, found, most = demand.copy(), {}, widest(sizes, capacity)
-    rate, extra = eta * np.log(len(sizes) + 1), 0.5 / capacity
+    rate, extra, least = eta * np.log(len(sizes) + 1), 0.5 / capacity, most / capacity - 1e-9
 
     def take(some: np.ndarray, config: dict[int, int], supply: np.ndarray) -> int:
         n = min(int(supply[k]) // c for k, c in config.items())
@@ -104,14 +104,15 @@ def solve(hist: dict[int, int], capacity: int, stages: int = 3, eta: float = 1.0
             made = 0
             for first in range(len(here) - 1, -1, -1):
                 while stock[first] > 0:
-                    config, room, rest = {first: 1}, capacity - int(here[first]), stock.copy()
+                    config, room, rest, worth_so_far = {first: 1}, capacity - int(here[first]), stock.copy(), float(prices[first])
                     rest[first] -= 1
                     while room >= here[0]:
                         upto = int(np.searchsorted(here, room, "right"))
                         worth = np.where(rest[:upto] > 0, best[room - here[:upto]] + prices[:upto], -1.0)
                         k = int(worth.argmax())
-                        if worth[k] < 0:
-                            break
+                        if worth_so_far + worth[k] < least:
+                            break  # no way to fill it from here
+                        worth_so_far += float(prices[k])
                         config[k] = config.get(k, 0) + 1
                         rest[k] -= 1
                         room -= int(here[k])
